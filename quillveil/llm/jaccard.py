@@ -9,7 +9,10 @@ Two documents link when 100 * intersection >= 75 * union, a distance of at most
    linked documents always share one.
 2. Regions. In each cell the document with the largest share of common shingles is the pivot (of a group of copies, mostly the
    original). A pivot's region holds the documents of all its cells.
-3. Windows. In a region the distances to the pivot decide: documents within 0.25 of it are linked to it and need not be
+3. Bounds. A set's sketch counts its hashes in about a sixth as many bins; the sum of differences of two sketches is a lower
+   bound of the sets' symmetric difference, which linked sets keep under a seventh of their sizes' sum. Documents that no
+   other one of their region can reach by this bound and by size leave the region before any text is moved.
+4. Windows. In a region the distances to the pivot decide: documents within 0.25 of it are linked to it and need not be
    compared with each other; any other two can only be linked if their distances to the pivot differ by at most 0.25. A region
    of more than `BLOCK` documents is first dealt out for those distances, then its rings of distance are dealt out again in
    pairs of blocks, each a region of its own with a pivot of its own.
@@ -42,6 +45,8 @@ BLOCK = 512
 #: Common shingles that are put last, at most (8 bytes each, sent to every task); which ones only matters for speed.
 COMMON = 1 << 17
 COMMON_FROM = 48
+#: Ids of documents whose texts are needed are sent to every task up to this number (8 MB), beyond it joined by a shuffle.
+SENT = 1 << 20
 _ENTRY = np.dtype([("t", "<u4"), ("k", "<i8"), ("n", "<u2"), ("heat", "u1")])
 _SIZE_STEPS = 4000
 _RINGS = 20
@@ -55,20 +60,30 @@ def _signature(own: np.ndarray) -> tuple[int, int]:
     return int(mix(own).sum(dtype=_U).astype(np.int64)), int(mix(own + _U(0x51ED270B)).sum(dtype=_U).astype(np.int64))
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Counts of the hashes in a power of two of bins, 4 to 8 hashes each; a count stops at 255, which keeps it a bound.
+
+    At 16 hashes a bin unrelated sets come close to the bound of linked ones; at 8 they are far above it.
+    """
+    bins = 1 << max(3, int(len(own)).bit_length() - 3)
+    return np.minimum(np.bincount((own & _U(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8)
+
+
 def signatures(documents: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, n_shingles and the class (a, b) of each document's set."""
+    """doc_id, n_shingles, the class (a, b) and the sketch of each document's set."""
 
     def run(batches):
         for batch in batches:
-            n, a, b = [], [], []
+            n, a, b, bins = [], [], [], []
             for own in shingle_sets(batch.column(1), k):
                 x, y = _signature(own)
                 n.append(len(own))
                 a.append(x)
                 b.append(y)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "n_shingles", "a", "b"])
+                bins.append(sketch(own).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bins, pa.binary())], names=["doc_id", "n_shingles", "a", "b", "sketch"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, a long, b long")
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, a long, b long, sketch binary")
 
 
 def common_shingles(documents: DataFrame, k: int = K, most: int = COMMON) -> np.ndarray:
@@ -212,6 +227,45 @@ def regions(packed: DataFrame, partitions: int) -> DataFrame:
     return packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "p long, m long").distinct()
 
 
+def reachable(sizes: np.ndarray, sketches: list[np.ndarray]) -> np.ndarray:
+    """Whether each set can be linked to any other, by size and sketch."""
+    out = np.zeros(len(sizes), bool)
+    order = np.argsort(sizes, kind="stable")
+    bins = np.array([len(sketches[i]) for i in order])
+    n = sizes[order]
+    ends = np.searchsorted(n, n * 100 // LEAST, "right")
+    for level in np.unique(bins):
+        at = np.flatnonzero(bins == level)
+        last = int(ends[at].max())
+        folded = np.stack([sketches[i].astype(np.int16).reshape(-1, level).sum(0) for i in order[at[0] : last]])
+        for i in at:
+            if ends[i] > i + 1:
+                far = np.abs(folded[i + 1 - at[0] : ends[i] - at[0]] - folded[i - at[0]]).sum(1)
+                near = far * (100 + LEAST) <= (100 - LEAST) * (n[i + 1 : ends[i]] + n[i])
+                if near.any():
+                    out[order[i]] = True
+                    out[order[i + 1 : ends[i]][near]] = True
+    return out
+
+
+def pruned(rows: DataFrame, partitions: int) -> DataFrame:
+    """Rows (p, d, n, sketch) of regions to the rows (p, d) that another row of their region can reach."""
+
+    def run(batches):
+        ps, ds = [], []
+        for (p,), held in _groups(batches, 1):
+            ids = np.concatenate([b.column(1).to_numpy() for b in held])
+            if len(ids) > 1:
+                sizes = np.concatenate([b.column(2).to_numpy() for b in held])
+                keep = ids[reachable(sizes, [np.frombuffer(x, np.uint8) for b in held for x in b.column(3).to_pylist()])]
+                ps.append(np.full(len(keep), p))
+                ds.append(keep)
+        if ps:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ps), pa.int64()), pa.array(np.concatenate(ds), pa.int64())], names=["p", "d"])
+
+    return rows.select("p", "d", "n", "sketch").repartition(partitions, "p").sortWithinPartitions("p", "d").mapInArrow(run, "p long, d long")
+
+
 def _similar(inter: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
     return 100 * inter >= LEAST * (sizes + others - inter)
 
@@ -377,13 +431,17 @@ def links(documents: DataFrame, classes: DataFrame, k: int = K) -> DataFrame:
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     partitions = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * 5 // (64 << 20)))
     packed = cells(documents, common_shingles(documents, k), 16 * partitions, k)
-    reps = stored(classes.where("n_shingles > 0").groupBy("a").agg(F.min("doc_id").alias("d")))
+    reps = stored(classes.where("n_shingles > 0").groupBy("a").agg(F.min("doc_id").alias("d"), F.min_by(F.struct("n_shingles", "sketch"), "doc_id").alias("s")))
     found = regions(packed, partitions)
-    found = found.join(reps.select(F.col("a").alias("p"), F.col("d").alias("pd")), "p").join(reps.select(F.col("a").alias("m"), "d"), "m")
-    found = stored(found.select(F.col("pd").alias("p"), "d"))
+    found = found.join(reps.select(F.col("a").alias("p"), F.col("d").alias("pd")), "p").join(reps.select(F.col("a").alias("m"), "d", "s.*"), "m")
+    found = stored(found.select(F.col("pd").alias("p"), "d", F.col("n_shingles").alias("n"), "sketch"))
     size = found.groupBy("p").agg(F.count("*").alias("size"))
     found = found.join(size, "p").where("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-    wanted = found.select("d").distinct()
+    few = pruned(found.where("blocks = 1"), partitions).withColumn("blocks", F.lit(1).cast("long"))
+    found = stored(few.unionByName(found.where("blocks > 1").select("p", "d", "blocks")))
+    wanted = stored(found.select("d").distinct())
+    if wanted.count() <= SENT:
+        wanted = F.broadcast(wanted)
     texts = documents.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text")).join(wanted, "d", "left_semi").dropDuplicates(["d"])
     members = stored(found.join(texts, "d"))
     small = members.where("blocks = 1").select("p", F.lit(0).alias("i"), F.lit(0).alias("j"), "d", "text")
