@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -168,7 +169,7 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
 
 def _slices(column: pa.Array, bytes_at_once: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
     a = 0
     while a < len(column):
         b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + bytes_at_once, "right")))
