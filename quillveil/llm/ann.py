@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillveil.llm.workers import lean
+
 #: Vectors that the index is fitted on, about.
 SAMPLE = 20_000
 LISTS = 256
@@ -127,7 +129,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = LIS
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest.astype(np.int32))], names=["id", "vector", "list"])
 
     schema = "id long, vector array<double>, list int"
-    rows = vectors.select(F.col("id").cast("long"), F.col("vector").cast("array<double>")).mapInArrow(put, schema)
+    rows = vectors.select(F.col("id").cast("long"), F.col("vector").cast("array<double>")).mapInArrow(lean(put), schema)
     held = {r[0]: r[1] for r in rows.groupBy("list").count().collect()}  # at most LISTS rows
     filled = np.array([held.get(i, 0) for i in range(len(index.centroids))])
     least = max(8, int(np.ceil(probed * len(filled))))
@@ -147,7 +149,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = LIS
             at = pa.array(row[live])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(chosen[live].astype(np.int32))], names=["id", "vector", "list"])
 
-    asked = queries.select(F.col("id").cast("long"), F.col("vector").cast("array<double>")).mapInArrow(probe, schema)
+    asked = queries.select(F.col("id").cast("long"), F.col("vector").cast("array<double>")).mapInArrow(lean(probe), schema)
     asking = {r[0]: r[1] for r in asked.groupBy("list").count().collect()}
     table = lambda counts, size: F.coalesce(F.get(F.array(*(F.lit(int(max(1, -(-counts.get(i, 0) // size)))) for i in range(len(filled)))), F.col("list")), F.lit(1))
     row_blocks, query_blocks = table(held, BLOCK_ROWS), table(asking, BLOCK_QUERIES)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,8 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pre-tokens that a worker remembers; beyond this it forgets all and starts again.
-REMEMBERED = 600_000
+from quillveil.llm.workers import lean
+
+#: Pre-tokens that a task remembers; beyond this it forgets all and starts again.
+REMEMBERED = 300_000
 
 
 class PerfectHash:
@@ -88,40 +91,40 @@ class Vocabulary:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(top)), np.uint8)
         self.single = [self.ranks[bytes([i])] for i in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.pairs: dict[int, int] = {}  # by left id << 20 | right id
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
                 a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if a is not None and b is not None:
-                    self.pairs[a, b] = rank
+                    self.pairs[a << 20 | b] = rank
         self.forget()
 
     def forget(self) -> None:
         """Codes of the pre-tokens met so far, and the ids of each code."""
         self.codes: dict[str, int] = {}
-        self.ids: list[int] = []
-        self.ends: list[int] = [0]
+        self.ids = array("i")
+        self.ends = array("q", [0])
 
     def merged(self, data: bytes) -> list[int]:
         """Ids of a pre-token by merging: a heap over linked bytes."""
         pairs, ids = self.pairs, [self.single[b] for b in data]
         n = len(ids)
-        heap = [(r, i) for i in range(n - 1) if (r := pairs.get((ids[i], ids[i + 1]))) is not None]
+        heap = [(r, i) for i in range(n - 1) if (r := pairs.get(ids[i] << 20 | ids[i + 1])) is not None]
         if not heap:
             return ids
         heapq.heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
             rank, i = heapq.heappop(heap)
-            if ids[i] < 0 or (j := after[i]) >= n or pairs.get((ids[i], ids[j])) != rank:
+            if ids[i] < 0 or (j := after[i]) >= n or pairs.get(ids[i] << 20 | ids[j]) != rank:
                 continue
             ids[i], ids[j] = rank, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := pairs.get((rank, ids[k]))) is not None:
+                if (r := pairs.get(rank << 20 | ids[k])) is not None:
                     heapq.heappush(heap, (r, i))
-            if (h := before[i]) >= 0 and (r := pairs.get((ids[h], rank))) is not None:
+            if (h := before[i]) >= 0 and (r := pairs.get(ids[h] << 20 | rank)) is not None:
                 heapq.heappush(heap, (r, h))
         return [x for x in ids if x >= 0]
 
@@ -134,7 +137,7 @@ class Vocabulary:
             if slot >= 0 and self.at[slot] == raw:
                 self.ids.append(self.ranks[raw])
             else:
-                self.ids += self.merged(raw)
+                self.ids.extend(self.merged(raw))
             self.codes[token] = len(self.ends) - 1
             self.ends.append(len(self.ids))
 
@@ -150,7 +153,7 @@ class Vocabulary:
         counts = np.array([len(own) for own in split], np.int64)
         get = self.codes.__getitem__
         codes = np.fromiter((get(t) for own in split for t in own), np.int64, int(counts.sum()))
-        ends, ids = np.array(self.ends, np.int64), np.array(self.ids, np.int32)
+        ends, ids = np.frombuffer(self.ends, np.int64), np.frombuffer(self.ids, np.int32) if self.ids else np.zeros(0, np.int32)
         sizes = ends[codes + 1] - ends[codes]
         done = np.concatenate(([0], np.cumsum(sizes)))
         flat = ids[np.repeat(ends[codes] - done[:-1], sizes) + np.arange(done[-1])]
@@ -188,9 +191,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
                 flat, offsets = own.encode(batch.column(0).slice(a, b - a).fill_null("").to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), lists], names=[*rest, ids])
+        own.forget()
 
     picked = df.select(F.col(text).cast("string").alias("\0text"), *(F.col(f"`{c}`") for c in rest))
-    return picked.mapInArrow(run, T.StructType([*(df.schema[c] for c in rest), T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return picked.mapInArrow(lean(run), T.StructType([*(df.schema[c] for c in rest), T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -210,7 +214,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(c.slice(a, b - a) for c in batch.columns[1:]), made], names=[ids, *rest, out])
 
     picked = df.select(F.col(ids), *(F.col(f"`{c}`") for c in rest))
-    return picked.mapInArrow(run, T.StructType([df.schema[ids], *(df.schema[c] for c in rest), T.StructField(out, T.BinaryType())]))
+    return picked.mapInArrow(lean(run), T.StructType([df.schema[ids], *(df.schema[c] for c in rest), T.StructField(out, T.BinaryType())]))
 
 
 def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:

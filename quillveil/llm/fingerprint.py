@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillveil.llm.text import pieces, shingles, text_buffer
+from quillveil.llm.workers import lean
 
 K = 128
 
@@ -172,4 +173,4 @@ def compare_edited(df: DataFrame, k: int = K, bytes_per_part: int = 4 << 20) ->
                     yield compare(ids, texts, sketches, len(ids) - 1)
                     ids, texts, sketches = ids[-1:], texts[-1:], sketches[-1:]
 
-    return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.mapInArrow(lean(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

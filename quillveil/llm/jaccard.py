@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from quillveil.llm.components import components
 from quillveil.llm.store import stored
 from quillveil.llm.text import mix, shingle_sets
+from quillveil.llm.workers import lean
 
 K = 5
 #: Similarity in hundredths.
@@ -83,7 +84,7 @@ def signatures(documents: DataFrame, k: int = K) -> DataFrame:
                 bins.append(sketch(own).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bins, pa.binary())], names=["doc_id", "n_shingles", "a", "b", "sketch"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, a long, b long, sketch binary")
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_shingles long, a long, b long, sketch binary")
 
 
 def common_shingles(documents: DataFrame, k: int = K, most: int = COMMON) -> np.ndarray:
@@ -113,7 +114,7 @@ def common_shingles(documents: DataFrame, k: int = K, most: int = COMMON) -> np.
                     held, size, seen = [], 0, set()
         yield from counted()
 
-    found = documents.select(F.col("text").cast("string")).mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_FROM)
+    found = documents.select(F.col("text").cast("string")).mapInArrow(lean(run), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_FROM)
     return np.sort(found.orderBy(F.desc("n"), "t").limit(most).select("t").toArrow()["t"].to_numpy().view(_U))
 
 
@@ -171,7 +172,7 @@ def cells(documents: DataFrame, common: np.ndarray, buckets: int, k: int = K) ->
                     held, tokens, size = [], [], 0
         yield from packed()
 
-    return documents.select(F.col("text").cast("string")).mapInArrow(run, "bucket int, entries binary")
+    return documents.select(F.col("text").cast("string")).mapInArrow(lean(run), "bucket int, entries binary")
 
 
 def regions(packed: DataFrame, partitions: int) -> DataFrame:
@@ -224,7 +225,7 @@ def regions(packed: DataFrame, partitions: int) -> DataFrame:
             x = distinct(found)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], names=["p", "m"])
 
-    return packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "p long, m long").distinct()
+    return packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "p long, m long").distinct()
 
 
 def reachable(sizes: np.ndarray, sketches: list[np.ndarray]) -> np.ndarray:
@@ -263,7 +264,7 @@ def pruned(rows: DataFrame, partitions: int) -> DataFrame:
         if ps:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ps), pa.int64()), pa.array(np.concatenate(ds), pa.int64())], names=["p", "d"])
 
-    return rows.select("p", "d", "n", "sketch").repartition(partitions, "p").sortWithinPartitions("p", "d").mapInArrow(run, "p long, d long")
+    return rows.select("p", "d", "n", "sketch").repartition(partitions, "p").sortWithinPartitions("p", "d").mapInArrow(lean(run), "p long, d long")
 
 
 def _similar(inter: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -400,7 +401,7 @@ def join_units(units: DataFrame, partitions: int, k: int = K) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     dealt = units.select("p", "i", "j", "d", "text").repartition(partitions, "p", "i", "j").sortWithinPartitions("p", "i", "j", "d")
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(lean(run), "u long, v long")
 
 
 def pivot_rings(rows: DataFrame, partitions: int, k: int = K) -> DataFrame:
@@ -422,7 +423,7 @@ def pivot_rings(rows: DataFrame, partitions: int, k: int = K) -> DataFrame:
                 linked.append(100 * inter >= LEAST * union)
             yield pa.RecordBatch.from_arrays([pa.array([p] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(rings, pa.int32()), pa.array(linked)], names=["p", "d", "ring", "linked"])
 
-    return rows.select("p", "salt", "d", "text").repartition(partitions, "p", "salt").sortWithinPartitions("p", "salt", "d").mapInArrow(run, "p long, d long, ring int, linked boolean")
+    return rows.select("p", "salt", "d", "text").repartition(partitions, "p", "salt").sortWithinPartitions("p", "salt", "d").mapInArrow(lean(run), "p long, d long, ring int, linked boolean")
 
 
 def links(documents: DataFrame, classes: DataFrame, k: int = K) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillveil.llm.text import pieces, text_buffer
+from quillveil.llm.workers import lean
 
 #: Documents of each language that learning reads, about.
 SAMPLE = 4000
@@ -76,7 +77,7 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], names=["lang", "gram", "n"])
 
-    table = chosen.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # 2**BITS rows a language at most
+    table = chosen.mapInArrow(lean(count), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # 2**BITS rows a language at most
     languages = sorted(lang for lang, _ in counts)
     sums = np.zeros((1 << BITS, len(languages)))
     place = {x: i for i, x in enumerate(languages)}
@@ -148,4 +149,4 @@ def predict(documents: DataFrame, model: Model, text: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang), pa.array(score), pa.array(mixture)], names=[*names, "lang_pred", "score", "languages"])
 
     schema = T.StructType([*(documents.schema[c] for c in names), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.StringType())])
-    return documents.select(F.col(text).cast("string").alias("\0text"), *(F.col(f"`{c}`") for c in names)).mapInArrow(run, schema)
+    return documents.select(F.col(text).cast("string").alias("\0text"), *(F.col(f"`{c}`") for c in names)).mapInArrow(lean(run), schema)

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillveil.llm.workers import lean
+
 #: The wordings of licenses and of their usual notices.
 TEMPLATES = {
     "Apache-2.0": (
@@ -147,4 +149,4 @@ def find(df: DataFrame, text: str = "text", out: str = "licenses") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], found], names=[*names, out])
 
     schema = T.StructType([*(df.schema[c] for c in names), T.StructField(out, T.ArrayType(T.StructType([T.StructField(n, t) for n, t in kinds])))])
-    return df.select(F.col(text).cast("string").alias("\0text"), *(F.col(f"`{c}`") for c in names)).mapInArrow(run, schema)
+    return df.select(F.col(text).cast("string").alias("\0text"), *(F.col(f"`{c}`") for c in names)).mapInArrow(lean(run), schema)

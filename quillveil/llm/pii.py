@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillveil.llm.workers import lean
+
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # other; then first and later characters of each kind
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -391,7 +393,7 @@ def find(df: DataFrame, text: str = "text", spans: str = "spans", base: str = "b
             more = added_spans(shared.value, texts, fixed)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], column(fixed), column([sorted(a + b) for a, b in zip(fixed, more, strict=True)])], names=[*names, base, spans])
 
-    return df.select(F.col(text).cast("string").alias("\0text"), *(F.col(f"`{c}`") for c in names)).mapInArrow(run, schema)
+    return df.select(F.col(text).cast("string").alias("\0text"), *(F.col(f"`{c}`") for c in names)).mapInArrow(lean(run), schema)
 
 
 def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -417,4 +419,4 @@ def masked(df: DataFrame, text: str = "text") -> DataFrame:
             columns[text] = pa.array(values, pa.string())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
-    return picked.select(*(F.col(f"`{c}`") for c in names), "_spans").mapInArrow(run, df.schema)
+    return picked.select(*(F.col(f"`{c}`") for c in names), "_spans").mapInArrow(lean(run), df.schema)

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillveil.llm.text import mix, shingle_sets
+from quillveil.llm.workers import lean
 
 #: Labelled documents of each label that learning reads at most.
 SAMPLE = 3000
@@ -280,4 +281,4 @@ def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
     schema = T.StructType([*(documents.schema[c] for c in names), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return documents.select(F.col(text).cast("string").alias("\0text"), *(F.col(f"`{c}`") for c in names)).mapInArrow(run, schema)
+    return documents.select(F.col(text).cast("string").alias("\0text"), *(F.col(f"`{c}`") for c in names)).mapInArrow(lean(run), schema)

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillveil.llm.store import shared_folder
+from quillveil.llm.workers import lean
 
 #: Payloads below this many bytes are never replaced by a revisit.
 LEAST = 1000
@@ -171,7 +172,7 @@ def convert(pages: DataFrame, archive_bytes: int = 8 << 20, version: int = 2) ->
         if rows:
             yield emit(rows)
 
-    return pages.select("page_id", "url", "html", "refers_to", "refers_url", "revisit").mapInArrow(run, "archive binary")
+    return pages.select("page_id", "url", "html", "refers_to", "refers_url", "revisit").mapInArrow(lean(run), "archive binary")
 
 
 def write_archives(spark: SparkSession, pages: DataFrame) -> str:
@@ -203,4 +204,4 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     rows.append((page(uri), unquote(_PAGE.sub("", uri)), size, digest, kind, page(head.get("warc-refers-to-target-uri", "")), head["warc-record-id"], head["warc-date"]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return archives.select("archive").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, date string")
+    return archives.select("archive").mapInArrow(lean(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, date string")
