@@ -375,6 +375,12 @@ def added_spans(net: Network, texts: list[str], base: list[list[Span]]) -> list[
     return out
 
 
+def _both(net: Network, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
+    """Base spans and all spans of each text."""
+    fixed = [base_spans(t) for t in texts]
+    return [(a, sorted(a + b) if b else a) for a, b in zip(fixed, added_spans(net, texts, fixed), strict=True)]
+
+
 def find(df: DataFrame, text: str = "text", spans: str = "spans", base: str = "base_spans") -> DataFrame:
     """df with columns `base` and `spans` (base and added): arrays of structs kind, start, end, by start, then kind."""
     names = [c for c in df.columns if c not in (spans, base)]
@@ -388,10 +394,8 @@ def find(df: DataFrame, text: str = "text", spans: str = "spans", base: str = "b
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            fixed = [base_spans(t) for t in texts]
-            more = added_spans(shared.value, texts, fixed)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], column(fixed), column([sorted(a + b) for a, b in zip(fixed, more, strict=True)])], names=[*names, base, spans])
+            found = _both(shared.value, [t or "" for t in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], column([a for a, _ in found]), column([b for _, b in found])], names=[*names, base, spans])
 
     return df.select(F.col(text).cast("string").alias("\0text"), *(F.col(f"`{c}`") for c in names)).mapInArrow(lean(run), schema)
 
@@ -408,15 +412,17 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def masked(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the personal data in `text` masked; a null text stays null."""
-    found = find(df, text)
     names = df.columns
-    picked = found.withColumn("_spans", F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+    shared = df.sparkSession.sparkContext.broadcast(train())
 
     def run(batches):
         for batch in batches:
-            columns = dict(zip(names, batch.columns, strict=False))
-            values = [t if t is None or not s else mask(t, [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in s)]) for t, s in zip(columns[text].to_pylist(), batch.columns[-1].to_pylist(), strict=True)]
-            columns[text] = pa.array(values, pa.string())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
-
-    return picked.select(*(F.col(f"`{c}`") for c in names), "_spans").mapInArrow(lean(run), df.schema)
+            for a in range(0, len(batch), 1000):
+                columns = dict(zip(names, (c.slice(a, 1000) for c in batch.columns), strict=True))
+                texts = columns[text].to_pylist()
+                found = _both(shared.value, [t or "" for t in texts])
+                values = [t if not s else mask(t, [(KINDS[x.kind], x.start, x.end) for x in s]) for t, (_, s) in zip(texts, found, strict=True)]
+                columns[text] = pa.array(values, pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+
+    return df.mapInArrow(lean(run), df.schema)
