@@ -1,15 +1,592 @@
-"""Every query of the library, by name."""
+"""Every query of the library by name, each over whole tables, with DuckDB SQL of the same rows where SQL can express it."""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillveil.functions import address, entities, layout, names, patterns, pseudonym
+from quillveil.functions.spans import claim, context, contains_any, find_all, span
+from quillveil.operators import evaluate, images
+from quillveil.operators.detect import coalesce_runs, counts, detect, exploded, redact, write_runs
+from quillveil.policy import Policy
+from quillveil.sources import protocol
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None, name: str | None = None):
+    def put(f: Query) -> Query:
+        _QUERIES[name or f.__name__] = f
+        if sql is not None:
+            _SQL[name or f.__name__] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+#: A text for each order, in SQL that both engines read: personal data of every category, and look-alikes without it.
+CORPUS = """
+SELECT o_orderkey AS row_id, o_orderkey % 16 AS template, CASE o_orderkey % 16
+ WHEN 0 THEN 'Write to user' || cast(o_orderkey AS string) || '@example.com for details.'
+ WHEN 1 THEN 'Call 9' || lpad(cast(o_orderkey * 7919 % 1000000000 AS string), 9, '0') || ' for help.'
+ WHEN 2 THEN 'Please quote Order No 9' || lpad(cast(o_orderkey * 7919 % 1000000000 AS string), 9, '0') || ' in the ticket.'
+ WHEN 3 THEN 'His PAN is ABCDE' || lpad(cast(o_orderkey % 10000 AS string), 4, '0') || 'F as per records.'
+ WHEN 4 THEN 'The SSN on file is ' || lpad(cast(o_orderkey % 1000 AS string), 3, '0') || '-45-' || lpad(cast(o_orderkey % 9973 AS string), 4, '0') || '.'
+ WHEN 5 THEN 'Aadhaar Number: 2345 6789 ' || lpad(cast(o_orderkey % 10000 AS string), 4, '0') || ' as per UIDAI records.'
+ WHEN 6 THEN 'The invoice total was 1234 5678 ' || lpad(cast(o_orderkey % 10000 AS string), 4, '0') || ' rupees only.'
+ WHEN 7 THEN 'Passport no A' || lpad(cast(o_orderkey % 10000000 AS string), 7, '0') || ' was issued by the Republic of India.'
+ WHEN 8 THEN 'Seat A' || lpad(cast(o_orderkey % 10000000 AS string), 7, '0') || ' was booked.'
+ WHEN 9 THEN 'Date of Birth: 12/04/19' || lpad(cast(o_orderkey % 100 AS string), 2, '0') || ' as recorded.'
+ WHEN 10 THEN 'The resolution was passed on 12/04/20' || lpad(cast(o_orderkey % 100 AS string), 2, '0') || ' by the Board.'
+ WHEN 11 THEN 'The server is at 10.' || cast(o_orderkey % 300 AS string) || '.3.' || cast(o_orderkey % 256 AS string) || ' today.'
+ WHEN 12 THEN 'Paid with card number 453201511283' || lpad(cast(o_orderkey % 10000 AS string), 4, '0') || ' today.'
+ WHEN 13 THEN 'Registered Office: Plot ' || cast(o_orderkey % 90 + 1 AS string) || ', Residency Road, Pune 411001, India.'
+ WHEN 14 THEN 'Further details are on page ' || cast(o_orderkey % 400 AS string) || ' of this document.'
+ ELSE 'Director: Rahul Sharma, and see section ' || cast(o_orderkey % 30 AS string) || '.' END AS text
+FROM orders"""
+
+
+def corpus(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.sql(CORPUS.replace("FROM orders", "FROM {orders}"), orders=_table(spark, folder, "orders"))
+
+
+def _spans_sql(relation: str, key: str, pattern: str, where: str = "true") -> str:
+    """Matches with their offsets; `where` may use text, s, e and v."""
+    return f"""
+WITH src AS ({relation}), m AS (SELECT {key}, text, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g FROM src),
+u AS (SELECT {key}, text, m, g, unnest(range(1, len(m) + 1)) AS i FROM m WHERE len(m) > 0),
+o AS (SELECT {key}, text, m[i] AS v, cast(length(array_to_string(g[1:i], '')) + length(array_to_string(m[1:i-1], '')) AS INTEGER) AS s FROM u),
+q AS (SELECT {key}, text, v, s, cast(s + length(v) AS INTEGER) AS e FROM o)
+SELECT {key}, cast(row_number() OVER (PARTITION BY {key} ORDER BY s) AS INTEGER) AS ord, s AS "start", e AS "end", v AS "value" FROM q WHERE {where}"""
+
+
+_DOCUMENTS = "SELECT doc_id, text FROM documents"
+#: RE2 takes letters beyond ASCII for no word characters; numbers are found alike when letters become ASCII ones.
+_PLAIN = "SELECT doc_id, regexp_replace(text, '\\pL', 'a', 'g') AS text FROM documents"
+
+
+def _found(df: DataFrame, key: str, spans: Column) -> DataFrame:
+    return exploded(df.select(key, spans.alias("detections")), key).drop("category")
+
+
+def _near_sql(keywords: tuple[str, ...]) -> str:
+    window = "lower(substring(text, greatest(s - 60, 0) + 1, e + 60 - greatest(s - 60, 0)))"
+    return "(" + " OR ".join(f"contains({window}, '{k}')" for k in keywords) + ")"
+
+
+_LUHN = "regexp_full_match(regexp_replace(v, '[ -]', '', 'g'), '[0-9]{13,19}') AND list_sum(list_transform(range(0, length(regexp_replace(v, '[ -]', '', 'g'))), lambda i: CASE WHEN i % 2 = 0 THEN cast(reverse(regexp_replace(v, '[ -]', '', 'g'))[i+1] AS INT) WHEN cast(reverse(regexp_replace(v, '[ -]', '', 'g'))[i+1] AS INT) > 4 THEN cast(reverse(regexp_replace(v, '[ -]', '', 'g'))[i+1] AS INT) * 2 - 9 ELSE cast(reverse(regexp_replace(v, '[ -]', '', 'g'))[i+1] AS INT) * 2 END)) % 10 = 0"
+
+for _name, _category, _where in (("find_email", "email", "true"), ("find_ip", "ip", "true"), ("card_luhn", "credit_card", _LUHN)):
+    _query(_spans_sql(_DOCUMENTS if _category == "email" else _PLAIN, "doc_id", patterns.PATTERNS[_category], _where), _name)(lambda spark, folder, c=_category: _found(_table(spark, folder, "documents"), "doc_id", patterns.DETECTORS[c](F.col("text"))))
+
+for _name, _category, _where in (
+    ("find_ssn", "ssn", "true"),
+    ("find_pan", "pan", "true"),
+    ("find_aadhaar_ctx", "aadhaar", _near_sql(patterns.NEEDS_AADHAAR)),
+    ("find_passport_ctx", "passport", _near_sql(patterns.NEEDS_PASSPORT)),
+    ("find_dob_ctx", "dob", _near_sql(patterns.NEEDS_DOB)),
+):
+    _query(_spans_sql(CORPUS, "row_id", patterns.PATTERNS[_category], _where), _name)(lambda spark, folder, c=_category: _found(corpus(spark, folder), "row_id", patterns.DETECTORS[c](F.col("text"))))
+
+# RE2 has no look-behind; in this template the number stands between blanks.
+_CALLS = CORPUS + " WHERE o_orderkey % 16 IN (1, 2)"
+
+
+@_query(_spans_sql(_CALLS, "row_id", "9[0-9]{9}", f"NOT {_near_sql(patterns.NOT_PHONE)}"))
+def find_phone_ctx(spark: SparkSession, folder: str) -> DataFrame:
+    return _found(corpus(spark, folder).where("template IN (1, 2)"), "row_id", F.transform(patterns.phone(F.col("text")), lambda s: span(s["start"] + F.length(s["value"]) - F.length(F.ltrim(s["value"])), s["end"], "phone", F.ltrim(s["value"]))))
+
+
+@_query(_spans_sql(_PLAIN, "doc_id", patterns.CARD))
+def find_card_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    return _found(_table(spark, folder, "documents"), "doc_id", find_all(F.col("text"), patterns.CARD))
+
+
+@_query(f"SELECT row_id, lower(substring(text, 1, 90)) AS around, {_near_sql(('order no', 'page')).replace('greatest(s - 60, 0) + 1', '1').replace('e + 60 - greatest(s - 60, 0)', '90')} AS hit FROM ({CORPUS})")
+def context_window(spark: SparkSession, folder: str) -> DataFrame:
+    around = context(F.col("text"), F.lit(20), F.lit(30))
+    return corpus(spark, folder).select("row_id", around.alias("around"), contains_any(around, ("order no", "page")).alias("hit"))
+
+
+# Addresses: three lines an order, so that blocks form, bridge and fail.
+_LETTERS = """
+SELECT o_orderkey AS row_id, CASE o_orderkey % 4 WHEN 0 THEN 'Registered Office:' WHEN 1 THEN 'Dear all' ELSE 'Corporate Office' END || chr(10) ||
+ CASE o_orderkey % 3 WHEN 0 THEN cast(o_orderkey % 99 AS string) || ' Mueller Road, Camp' WHEN 1 THEN 'Acme Labs, first line' ELSE 'The meeting went on for hours without an end in sight' END || chr(10) ||
+ CASE o_orderkey % 5 WHEN 0 THEN 'Order No. 411045 processed' WHEN 1 THEN 'Plot No ' || cast(o_orderkey % 50 AS string) || ', Sector 14' WHEN 2 THEN 'Pune 411045, near Lane 3' ELSE 'Thank you' END AS text FROM orders"""
+_RE2 = {k: v.replace("(?U)", "").replace("(?iU)", "(?i)").replace("\\u00a0", "").replace("'", "''") for k, v in {"label": address.LABEL, "pin": address.PINCODE, "street": address.STREET, "building": address.BUILDING, "number": address.NUMBER, "date": address.DATE, "amount": address.AMOUNT, "page": address.PAGE, "ordered": address.ORDER}.items()}
+_FEATURES = f"""
+WITH src AS ({_LETTERS}), l AS (SELECT row_id, cast(i AS INTEGER) AS line, string_split(text, chr(10))[i] AS t FROM (SELECT row_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM src)),
+f AS (SELECT row_id, line, trim(t) AS t, {', '.join(f"regexp_matches(trim(t), '{p}') AS {k}" for k, p in _RE2.items())} FROM l),
+c AS (SELECT row_id, line, t, label, pin, street, building, number AND (street OR building) AS number,
+ NOT ((NOT street AND NOT building AND (date OR amount)) OR page OR ordered) AND (label OR (pin AND (street OR building OR number)) OR (street AND building) OR ((street OR building) AND number AND length(t) > 10)) AS candidate FROM f)"""
+
+
+def _letters(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.sql(_LETTERS.replace("FROM orders", "FROM {orders}"), orders=_table(spark, folder, "orders"))
+
+
+@_query(_FEATURES + " SELECT row_id, line, label, pin, street, building, number, candidate FROM c")
+def address_line_features(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _letters(spark, folder).select("row_id", F.posexplode(address.lines(F.col("text"))).alias("i", "l"))
+    f = rows.select("row_id", (F.col("i") + 1).alias("line"), address.features(F.col("l")).alias("f"))
+    return f.select("row_id", "line", *(F.col(f"f.{c}").alias(c) for c in ("label", "pin", "street", "building", "number", "candidate")))
+
+
+@_query(
+    _FEATURES
+    + """, j AS (SELECT *, candidate OR (coalesce(lag(candidate) OVER w, false) AND coalesce(lead(candidate) OVER w, false) AND (length(t) < 15 OR contains(t, ',') OR contains(t, 'and'))) AS joined FROM c WINDOW w AS (PARTITION BY row_id ORDER BY line)),
+b AS (SELECT *, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY row_id ORDER BY line) AS island FROM j),
+g AS (SELECT row_id, island, min(line) AS first_line, max(line) AS last_line, count(*) AS n, bool_or(candidate AND label) AS label, bool_or(candidate AND pin) AS pin, bool_or(candidate AND street) AS street, bool_or(candidate AND building) AS building, bool_or(candidate AND number) AS number FROM b WHERE joined GROUP BY row_id, island)
+SELECT row_id, cast(first_line AS INTEGER) AS first_line, cast(last_line AS INTEGER) AS last_line FROM g WHERE (label AND label::INT + pin::INT + street::INT + building::INT + number::INT >= 2) OR (pin AND (street OR building)) OR (n > 1 AND (street OR building))"""
+)
+def address_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _letters(spark, folder).select("row_id", "text", F.explode(address.addresses(F.col("text"))).alias("s"))
+    line = lambda at: F.size(F.split(F.substring(F.col("text"), F.lit(1), at), "\n"))
+    return rows.select("row_id", line(F.col("s.start") + 1).alias("first_line"), line(F.col("s.end")).alias("last_line"))
+
+
+@_query(f"SELECT row_id, 'Rahul Sharma' AS \"value\", 10 AS \"start\", 22 AS \"end\" FROM ({CORPUS}) WHERE template = 15")
+def context_names(spark: SparkSession, folder: str) -> DataFrame:
+    rows = corpus(spark, folder).select("row_id", F.explode(names.names(F.col("text"))).alias("s"))
+    return rows.select("row_id", F.col("s.value").alias("value"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+
+
+_FIRMS = "SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Procter Foods' WHEN 1 THEN 'SEBI Regulations' WHEN 2 THEN 'Bluefield ' || cast(c_custkey AS string) WHEN 3 THEN 'KYC Desk' WHEN 4 THEN 'Annexure B' ELSE 'Northgate Limited' END AS firm FROM customer"
+
+
+@_query(
+    f"SELECT c_custkey, firm, {' OR '.join(f'''contains(lower(firm), '{k}')''' for k in entities.ALLOWED)} AS allowed, lower(firm) IN {entities.NOT_COMPANIES} OR regexp_replace(string_split(lower(firm), ' ')[1], '[.,;:]+$', '') IN {entities.NOT_COMPANIES} OR regexp_matches(firm, '[0-9]') AS misfire FROM ({_FIRMS})"
+)
+def company_gate(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.sql(_FIRMS.replace("FROM customer", "FROM {customer}"), customer=_table(spark, folder, "customer"))
+    return rows.select("c_custkey", "firm", entities.allowed_company(F.col("firm")).alias("allowed"), entities.misfire(F.col("firm")).alias("misfire"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, count(*) AS inside FROM (SELECT a.l_orderkey, a.l_linenumber FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_partkey % 97 >= a.l_suppkey % 50 AND b.l_partkey % 97 + 4 <= a.l_suppkey % 50 + 40) GROUP BY ALL")
+def entity_in_line(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 50).alias("s"), (F.col("l_partkey") % 97).alias("p"))
+    item = F.struct(F.col("p").cast("int").alias("start"), (F.col("p") + 4).cast("int").alias("end"))
+    grouped = rows.groupBy("l_orderkey").agg(F.collect_list(item).alias("entities"), F.collect_list(F.struct("l_linenumber", "s")).alias("lines"))  # a few lines an order
+    found = grouped.select("l_orderkey", "entities", F.explode("lines").alias("line"))
+    return found.select("l_orderkey", F.col("line.l_linenumber").alias("l_linenumber"), F.size(entities.in_line(F.col("entities"), F.col("line.s"), F.col("line.s") + 40)).cast("long").alias("n")).groupBy("l_orderkey", "l_linenumber").agg(F.sum("n").alias("inside")).where("inside > 0")
+
+
+_CLAIMS = "SELECT l_orderkey, l_linenumber, cast(l_partkey % 60 AS INTEGER) AS s, cast(l_partkey % 60 + 5 + l_suppkey % 20 AS INTEGER) AS e FROM lineitem"
+
+
+@_query(
+    f"""WITH RECURSIVE c AS (SELECT l_orderkey, list({{'k': l_linenumber, 's': s, 'e': e}} ORDER BY l_linenumber, s, e) AS cs FROM ({_CLAIMS}) GROUP BY l_orderkey),
+r AS (SELECT l_orderkey, cs, 1 AS i, cs[1:1] AS taken FROM c UNION ALL
+ SELECT l_orderkey, cs, i + 1, CASE WHEN len(list_filter(taken, lambda t: t.s < cs[i+1].e AND cs[i+1].s < t.e)) > 0 THEN taken ELSE list_append(taken, cs[i+1]) END FROM r WHERE i < len(cs)),
+f AS (SELECT l_orderkey, unnest(taken) AS t FROM r WHERE i = len(cs))
+SELECT l_orderkey, t.s AS "start", t.e AS "end" FROM f"""
+)
+def claim_greedy(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.sql(_CLAIMS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=_table(spark, folder, "lineitem"))
+    item = F.struct("l_linenumber", span(F.col("s"), F.col("e"), "x", F.lit("")).alias("c"))
+    own = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["c"])  # a few lines an order
+    grouped = rows.groupBy("l_orderkey").agg(own.alias("candidates"))
+    return grouped.select("l_orderkey", F.explode(claim(F.col("candidates"))).alias("c")).select("l_orderkey", F.col("c.start").alias("start"), F.col("c.end").alias("end"))
+
+
+def _count_sql(*parts: tuple[str, str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS category, count(*) AS n FROM ({_spans_sql(_DOCUMENTS if c == 'email' else _PLAIN, 'doc_id', p, w)})" for c, p, w in parts)
+
+
+@_query(_count_sql(("email", patterns.EMAIL, "true"), ("ip", patterns.IP, "true")))
+def policy_subset(spark: SparkSession, folder: str) -> DataFrame:
+    return counts(detect(_table(spark, folder, "documents"), policy=Policy.only("email", "ip"), found=None))
+
+
+@_query()
+def redaction_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return counts(detect(_table(spark, folder, "documents")))
+
+
+_THREE = Policy.only("email", "ip", "credit_card")
+
+
+@_query(
+    "SELECT lang, source, category, count(*) AS n FROM ("
+    + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category FROM ({_spans_sql(_DOCUMENTS if c == 'email' else _PLAIN, 'doc_id', p, w)})" for c, p, w in (("email", patterns.EMAIL, "true"), ("ip", patterns.IP, "true"), ("credit_card", patterns.CARD, _LUHN)))
+    + ") JOIN documents USING (doc_id) GROUP BY ALL"
+)
+def redaction_by_lang_source(spark: SparkSession, folder: str) -> DataFrame:
+    return counts(detect(_table(spark, folder, "documents"), policy=_THREE, found=None), "lang", "source")
+
+
+_SEED = "('0x' || right(sha256('{c}:' || lower(trim({v}))), 8))::UBIGINT::BIGINT"
+_DIGITS = "translate(sha256('{c}:' || lower(trim({v})) || '#'), 'abcdef', '012345')"
+
+
+def _seed_sql(category: str, value: str) -> str:
+    return _SEED.format(c=category, v=value)
+
+
+def _digits_sql(category: str, value: str) -> str:
+    return _DIGITS.format(c=category, v=value)
+
+
+_IP_SQL = "(11 + {s} % 89)::VARCHAR || '.' || ({s} // 89 % 256)::VARCHAR || '.' || ({s} // 22784 % 256)::VARCHAR || '.' || (1 + {s} // 5832704 % 254)::VARCHAR"
+
+
+@_query(
+    f"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '{patterns.IP}') AS m, string_split_regex(text, '{patterns.IP}') AS g FROM documents WHERE regexp_matches(text, '{patterns.IP}'))
+SELECT doc_id, array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || CASE WHEN i <= len(m) THEN {_IP_SQL.format(s=_seed_sql('ip', 'm[i]'))} ELSE '' END), '') AS redacted FROM m"""
+)
+def redact_text(spark: SparkSession, folder: str) -> DataFrame:
+    out = redact(_table(spark, folder, "documents"), policy=Policy.only("ip"), found=None)
+    return out.where(F.size("detections") > 0).select("doc_id", "redacted")
+
+
+@_query()
+def redact_all(spark: SparkSession, folder: str) -> DataFrame:
+    return redact(_table(spark, folder, "documents")).select("doc_id", "redacted", F.size("detections").alias("n"))
+
+
+def _letter_sql(digits: str, at: int, pool: str = "ABCDEFGHIJKLMNOPQRSTUVWXYZ") -> str:
+    return f"'{pool}'[substring({digits}, {at}, 3)::INT % {len(pool)} + 1]"
+
+
+_VALUE = "'A' || c_custkey::VARCHAR || ' '"
+_PAN_D, _UID_D, _PP_D, _SSN_D = (_digits_sql(c, _VALUE) for c in ("pan", "aadhaar", "passport", "ssn"))
+
+
+@_query(
+    f"""SELECT c_custkey, {_seed_sql('name', _VALUE)} AS name_seed, {' || '.join(_letter_sql(_PAN_D, 1 + 3 * i) for i in range(5))} || substring({_PAN_D}, 20, 4) || {_letter_sql(_PAN_D, 30)} AS pan,
+substring({_UID_D}, 1, 4) || ' ' || substring({_UID_D}, 5, 4) || ' ' || substring({_UID_D}, 9, 4) AS aadhaar, {_letter_sql(_PP_D, 1, 'ABCDEFGHJKLMNPQRSTUVWXYZ')} || substring({_PP_D}, 10, 7) AS passport,
+substring({_SSN_D}, 1, 3) || '-' || substring({_SSN_D}, 4, 2) || '-' || substring({_SSN_D}, 6, 4) AS ssn, {_IP_SQL.format(s=_seed_sql('ip', _VALUE))} AS ip FROM customer"""
+)
+def pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    v = F.concat(F.lit("A"), F.col("c_custkey").cast("string"), F.lit(" "))
+    return _table(spark, folder, "customer").select("c_custkey", pseudonym.seed("name", v).alias("name_seed"), *(pseudonym.MAKERS[c](v).alias(c) for c in ("pan", "aadhaar", "passport", "ssn", "ip")))
+
+
+@_query(f"SELECT c_custkey, strftime(DATE '1964-01-01' + ({_seed_sql('dob', 'd')} % 14610)::INT, '%d/%m/%Y') AS dob FROM (SELECT c_custkey, '12/04/' || (1900 + c_custkey % 100)::VARCHAR AS d FROM customer)")
+def pseudonym_dob(spark: SparkSession, folder: str) -> DataFrame:
+    v = F.concat(F.lit("12/04/"), (1900 + F.col("c_custkey") % 100).cast("string"))
+    return _table(spark, folder, "customer").select("c_custkey", pseudonym.dob(v).alias("dob"))
+
+
+@_query(f"WITH p AS (SELECT c_custkey, lpad((c_custkey * 7919 % 100000)::VARCHAR, 5, '0') AS a FROM customer), d AS (SELECT c_custkey, (6 + {_seed_sql('phone', chr(39) + '+91 98765 ' + chr(39) + ' || a')} % 4)::VARCHAR || {_digits_sql('phone', chr(39) + '+91 98765 ' + chr(39) + ' || a')} AS d FROM p) SELECT c_custkey, '+' || d[1:2] || ' ' || d[3:7] || ' ' || d[8:12] AS phone FROM d")
+def pseudonym_phone(spark: SparkSession, folder: str) -> DataFrame:
+    v = F.concat(F.lit("+91 98765 "), F.lpad((F.col("c_custkey") * 7919 % 100000).cast("string"), 5, "0"))
+    return _table(spark, folder, "customer").select("c_custkey", pseudonym.phone(v).alias("phone"))
+
+
+@_query("SELECT 1::BIGINT AS most_spellings, count(DISTINCT c_custkey) AS n FROM customer")
+def pseudonym_consistency(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "customer").select("c_custkey", F.explode(F.array(F.lit("Asha Rao "), F.lit(" asha rao"), F.lit("ASHA RAO"))).alias("first"))
+    fakes = rows.select("c_custkey", pseudonym.name(F.concat("first", F.lit(""))).alias("fake")).groupBy("c_custkey").agg(F.countDistinct("fake").alias("k"))
+    return fakes.agg(F.max("k").alias("most_spellings"), F.count("*").alias("n"))
+
+
+# Runs: an order is a paragraph, its lines are the runs.
+_RUN = "CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN 'part ' || l_partkey::VARCHAR || ' ' ELSE 'x' END"
+
+
+def _runs(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.when(F.col("l_linenumber") % 3 == 0, "").when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.lit(" "))).otherwise("x")
+    rows = _table(spark, folder, "lineitem").select("l_orderkey", F.struct("l_linenumber", text.alias("t")).alias("r"))
+    return rows.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["t"]).alias("runs"))
+
+
+@_query(
+    f"""WITH r AS (SELECT l_orderkey, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, t) - 1 AS INTEGER) AS run_index, t FROM (SELECT l_orderkey, l_linenumber, {_RUN} AS t FROM lineitem)),
+o AS (SELECT *, cast(coalesce(sum(length(t)) OVER (PARTITION BY l_orderkey ORDER BY run_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS s FROM r)
+SELECT l_orderkey, run_index, s AS "start", cast(s + length(t) AS INTEGER) AS "end", t AS text FROM o WHERE length(t) > 0"""
+)
+def run_coalesce(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _runs(spark, folder).select("l_orderkey", F.explode(coalesce_runs(F.col("runs"))["runs"]).alias("r"))
+    return rows.select("l_orderkey", "r.*")
+
+
+@_query(
+    f"""WITH t AS (SELECT l_orderkey, string_agg({_RUN}, '' ORDER BY l_linenumber, {_RUN}) AS text FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, substring(text, 1, 3) || '<NEW>' || substring(text, 11) AS text FROM t WHERE length(text) > 10"""
+)
+def run_writeback(spark: SparkSession, folder: str) -> DataFrame:
+    new = F.array(F.struct(F.lit(3).alias("start"), F.lit(10).alias("end"), F.lit("<NEW>").alias("replacement")))
+    rows = _runs(spark, folder).withColumn("c", coalesce_runs(F.col("runs"))).where(F.length("c.text") > 10)
+    written = write_runs(F.col("c.runs"), new)
+    return rows.select("l_orderkey", F.array_join(F.transform(written, lambda r: r["text"]), "").alias("text"))
+
+
+@_query("SELECT doc_id, cast(i - 1 AS INTEGER) AS para FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE length(trim(t)) > 0")
+def blank_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("para", "t"))
+    return rows.where(~F.regexp_like("t", F.lit(r"(?U)^\s*$"))).select("doc_id", "para")
+
+
+@_query("SELECT part, count(*) AS n, sum(length(text))::BIGINT AS chars FROM (SELECT 0 AS part, text FROM documents UNION ALL SELECT 1, html FROM pages UNION ALL SELECT 2, text FROM conversations) GROUP BY part")
+def part_union(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [("documents", "text"), ("pages", "html"), ("conversations", "text")]
+    rows = None
+    for i, (t, c) in enumerate(parts):
+        part = _table(spark, folder, t).select(F.lit(i).alias("part"), F.col(c).alias("text"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@_query("SELECT DISTINCT conv_id, role FROM conversations")
+def header_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return _table(spark, folder, "conversations").select("conv_id", "role").dropDuplicates(["conv_id", "role"])
+
+
+_UPLOADS = "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'a.DOCX' WHEN 1 THEN 'b.docx' ELSE 'c.txt' END AS path, o_orderkey % 5 * 5000000 AS length FROM orders"
+
+
+@_query(f"SELECT o_orderkey, CASE WHEN NOT lower(path) LIKE '%.docx' THEN 'Only .docx files are accepted' WHEN length = 0 THEN 'File is empty' WHEN length > 15728640 THEN 'File is larger than 15 MB' END AS error FROM ({_UPLOADS})")
+def upload_validation(spark: SparkSession, folder: str) -> DataFrame:
+    from quillveil.sources.docx import validated
+
+    return validated(spark.sql(_UPLOADS.replace("FROM orders", "FROM {orders}"), orders=_table(spark, folder, "orders"))).select("o_orderkey", "error")
+
+
+# OCR words: an order is an image, its lines are the words.
+_WORDS = """SELECT l_orderkey AS image_id, cast(l_linenumber AS int) AS ord, CASE l_linenumber % 7 WHEN 1 THEN 'Name:' WHEN 2 THEN 'Signature' WHEN 3 THEN 'P<IND<<<<' WHEN 4 THEN 'Address' WHEN 5 THEN ' ' ELSE 'w' || cast(l_partkey % 100 AS string) END AS text,
+ cast(l_suppkey * 37 % 500 AS int) AS left_x, cast(l_partkey % 90 AS int) AS top, cast(20 + l_suppkey % 30 AS int) AS width, cast(10 + l_partkey % 7 AS int) AS height, cast(l_partkey % 100 AS double) AS conf FROM lineitem"""
+
+
+def _ocr(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.sql(_WORDS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=_table(spark, folder, "lineitem")).withColumnRenamed("left_x", "left")
+
+
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    return images.words_of(_ocr(spark, folder))
+
+
+@_query(f"SELECT image_id, ord, trunc(left_x / 1.6)::INT AS \"left\", trunc(top / 1.6)::INT AS top FROM ({_WORDS}) WHERE length(trim(text)) > 0 AND conf >= 40")
+def ocr_filter_rescale(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _ocr(spark, folder).where(layout.kept_word(F.col("text"), F.col("conf")))
+    return rows.select("image_id", "ord", layout.rescaled(F.col("left"), F.lit(1.6)).alias("left"), layout.rescaled(F.col("top"), F.lit(1.6)).alias("top"))
+
+
+_LINES = f"""WITH RECURSIVE k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY top, ord, left_x, width, height, text) AS i FROM ({_WORDS}) WHERE length(trim(text)) > 0 AND conf >= 40),
+a AS (SELECT image_id, i, top AS anchor FROM k WHERE i = 1 UNION ALL SELECT k.image_id, k.i, CASE WHEN k.top - a.anchor <= 12 THEN a.anchor ELSE k.top END FROM a JOIN k ON k.image_id = a.image_id AND k.i = a.i + 1),
+n AS (SELECT k.*, a.anchor FROM k JOIN a USING (image_id, i))"""
+
+
+@_query(_LINES + " SELECT image_id, count(*) AS words, min(left_x) AS x1, min(top) AS y1, max(left_x + width) AS x2, max(top + height) AS y2 FROM n GROUP BY image_id, anchor")
+def line_grouping(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _pages(spark, folder).select("image_id", F.explode(layout.lines(F.col("words"))).alias("line"))
+    return rows.select("image_id", F.size("line").cast("long").alias("words"), layout.bounds(F.col("line")).alias("b")).select("image_id", "words", "b.*")
+
+
+def _field_rows(spark: SparkSession, folder: str, kind: str, field: str) -> DataFrame:
+    rows = _pages(spark, folder).select("image_id", F.explode(layout.fields(F.col("words"), F.lit(kind))).alias("f"))
+    return rows.where(F.col("f.field") == field).select("image_id", "f.box.*")
+
+
+@_query(_LINES + ", g AS (SELECT image_id, anchor, bool_or(text LIKE '%<%' AND length(text) - length(replace(text, '<', '')) >= 5 OR text LIKE 'P<%') AS mrz, min(left_x) AS x1, min(top) AS y1, max(left_x + width) AS x2, max(top + height) AS y2 FROM n GROUP BY image_id, anchor) SELECT image_id, x1, y1, x2, y2 FROM g WHERE mrz")
+def mrz_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return _field_rows(spark, folder, "passport", "mrz")
+
+
+@_query(
+    _LINES
+    + """, f AS (SELECT *, first_value(top) OVER (PARTITION BY image_id, anchor ORDER BY left_x, top, ord) AS first_top FROM n), g AS (SELECT image_id, anchor, first_top, bool_or(text = 'Signature') AS sig, min(left_x) AS x1, min(top) AS y1, max(left_x + width) AS x2, max(top + height) AS y2 FROM f GROUP BY image_id, anchor, first_top),
+p AS (SELECT image_id, sig, lag(x1) OVER w AS x1, lag(y1) OVER w AS y1, lag(x2) OVER w AS x2, lag(y2) OVER w AS y2 FROM g WINDOW w AS (PARTITION BY image_id ORDER BY first_top, anchor)) SELECT image_id, x1, y1, x2, y2 FROM p WHERE sig AND x1 IS NOT NULL"""
+)
+def signature_above(spark: SparkSession, folder: str) -> DataFrame:
+    return _field_rows(spark, folder, "pan", "signature")
+
+
+@_query()
+def label_value(spark: SparkSession, folder: str) -> DataFrame:
+    return _field_rows(spark, folder, "pan", "name")
+
+
+@_query()
+def address_region(spark: SparkSession, folder: str) -> DataFrame:
+    return _field_rows(spark, folder, "aadhaar", "address")
+
+
+@_query(_LINES + ", c AS (SELECT image_id, min(left_x) AS x, min(top) AS y, max(left_x + width) - min(left_x) AS w, max(top + height) - min(top) AS h FROM n GROUP BY image_id) SELECT image_id, x + trunc(w * 0.02)::INT AS x1, y + trunc(h * 0.12)::INT AS y1, x + trunc(w * 0.28)::INT AS x2, y + trunc(h * 0.75)::INT AS y2 FROM c")
+def layout_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    return _field_rows(spark, folder, "pan", "fallback_photo")
+
+
+_NOISY = "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'Goverment of mdia' WHEN 1 THEN 'INCOME TAX DEPARTMENT ABCDE1234F' WHEN 2 THEN 'Passport guidelines' WHEN 3 THEN 'Republic of lndia; PASSPORT A1234567' ELSE 'Account balance is ABCDE1234F' END AS raw FROM customer"
+
+
+def _noisy(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.sql(_NOISY.replace("FROM customer", "FROM {customer}"), customer=_table(spark, folder, "customer"))
+
+
+@_query(f"SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(raw), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS clean, levenshtein(lower(raw), 'government of india') <= 3 AS close FROM ({_NOISY})")
+def normalize_text(spark: SparkSession, folder: str) -> DataFrame:
+    return _noisy(spark, folder).select("c_custkey", layout.normalized(F.col("raw")).alias("clean"), (F.levenshtein(F.lower("raw"), F.lit("government of india")) <= 3).alias("close"))
+
+
+@_query(f"SELECT c_custkey, len(list_filter(range(1, greatest(length(raw) - 18, 1) + 1), lambda i: levenshtein(substring(lower(raw), i, 19), 'government of india') <= 3)) > 0 AS hit FROM ({_NOISY})")
+def fuzzy_substring(spark: SparkSession, folder: str) -> DataFrame:
+    return _noisy(spark, folder).select("c_custkey", layout.has_fuzzy(F.lower("raw"), "government of india", 3).alias("hit"))
+
+
+@_query(f"SELECT c_custkey, CASE c_custkey % 5 WHEN 1 THEN 'pan' WHEN 3 THEN 'passport' ELSE 'unknown' END AS doc_type, CASE WHEN c_custkey % 5 IN (1, 3) THEN 'high' ELSE 'low' END AS confidence FROM ({_NOISY})")
+def id_classify(spark: SparkSession, folder: str) -> DataFrame:
+    return _noisy(spark, folder).select("c_custkey", layout.classify(F.col("raw")).alias("c")).select("c_custkey", "c.doc_type", "c.confidence")
+
+
+_X1, _Y1 = "l_partkey % 80", "l_suppkey % 60"
+
+
+@_query(
+    f"""WITH w AS (SELECT l_orderkey, l_linenumber, ({_X1})::INT AS x1, ({_Y1})::INT AS y1, ({_X1} + 30)::INT AS x2, ({_Y1} + 20)::INT AS y2 FROM lineitem)
+SELECT a.l_orderkey, a.l_linenumber AS i, b.l_linenumber AS j, (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS area FROM w a JOIN w b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND least(a.x2, b.x2) > greatest(a.x1, b.x1) AND least(a.y2, b.y2) > greatest(a.y1, b.y1)"""
+)
+def rect_intersection(spark: SparkSession, folder: str) -> DataFrame:
+    x, y = F.col("l_partkey") % 80, F.col("l_suppkey") % 60
+    rows = _table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", layout.box(x, y, x + 30, y + 20).alias("b"))
+    pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_linenumber") < F.col("b.l_linenumber")))
+    pairs = pairs.select(F.col("a.l_orderkey"), F.col("a.l_linenumber").alias("i"), F.col("b.l_linenumber").alias("j"), layout.intersection(F.col("a.b"), F.col("b.b")).alias("c"))
+    return pairs.where("c is not null").select("l_orderkey", "i", "j", layout.area(F.col("c")).alias("area"))
+
+
+@_query(f"SELECT l_orderkey, l_linenumber, least(({_X1})::INT, 70) AS x1, least(({_Y1})::INT, 50) AS y1, least(({_X1} + 30)::INT, 70) AS x2, least(({_Y1} + 20)::INT, 50) AS y2 FROM lineitem WHERE {_X1} < 70 AND {_Y1} < 50")
+def box_clip(spark: SparkSession, folder: str) -> DataFrame:
+    x, y = F.col("l_partkey") % 80, F.col("l_suppkey") % 60
+    rows = _table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.array(layout.box(x, y, x + 30, y + 20)).alias("b"))
+    return rows.select("l_orderkey", "l_linenumber", F.explode(layout.clipped(F.col("b"), F.lit(70), F.lit(50))).alias("c")).select("l_orderkey", "l_linenumber", "c.*")
+
+
+@_query()
+def box_merge(spark: SparkSession, folder: str) -> DataFrame:
+    x, y = F.col("l_partkey") % 80, F.col("l_suppkey") % 60
+    rows = _table(spark, folder, "lineitem").select("l_orderkey", F.struct("l_linenumber", layout.box(x, y, x + 30, y + 20).alias("b")).alias("r"))
+    grouped = rows.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["b"]).alias("b"))
+    return grouped.select("l_orderkey", F.explode(layout.merged(F.col("b"))).alias("c")).select("l_orderkey", "c.*")
+
+
+@_query(
+    f"""WITH t AS (SELECT row_id, length(regexp_extract(text, '^[^ ]+')) AS b FROM ({CORPUS})) SELECT row_id, count(*) AS hit FROM (SELECT t.row_id, b FROM t) WHERE b > 3 GROUP BY row_id"""
+)
+def span_to_box(spark: SparkSession, folder: str) -> DataFrame:
+    item = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), layout.box(a, F.lit(0), b, F.lit(9)).alias("box"))
+    first = F.length(F.regexp_extract("text", "^[^ ]+", 0))
+    hit = layout.boxes_of(F.array(item(F.lit(0), first), item(first + 1, first + 5)), F.array(F.struct(F.lit(3).alias("start"), F.least(first, F.lit(4)).alias("end"))))
+    return corpus(spark, folder).select("row_id", F.size(hit).cast("long").alias("hit")).where("hit > 0")
+
+
+def _cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions of the corpus against what its templates hold."""
+    held = {0: "email", 1: "phone", 3: "pan", 4: "ssn", 5: "aadhaar", 7: "passport", 9: "dob", 13: "address", 15: "name"}
+    rows = detect(corpus(spark, folder), found=None)
+    kind = F.lit(None).cast("string")
+    for t, c in held.items():
+        kind = F.when(F.col("template") == t, c).otherwise(kind)
+    truth = F.when(kind.isNotNull(), F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), kind.alias("category")))).otherwise(F.array().cast("array<struct<start:int,end:int,category:string>>"))
+    return rows.select("row_id", F.col("detections").alias("predicted"), truth.alias("truth"))
+
+
+@_query()
+def eval_prf(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.metrics(_cases(spark, folder))
+
+
+_SCORES = "SELECT l_returnflag AS category, count(*) FILTER (WHERE l_linenumber = 1) AS tp, count(*) FILTER (WHERE l_linenumber = 2) AS fp, count(*) FILTER (WHERE l_linenumber = 3) AS fn FROM lineitem GROUP BY 1"
+
+
+@_query(f"SELECT category, tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE (fn = 0)::INT::DOUBLE END AS precision, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE (fp = 0)::INT::DOUBLE END AS recall, CASE WHEN tp > 0 THEN 2.0 * (tp::DOUBLE / (tp + fp)) * (tp::DOUBLE / (tp + fn)) / ((tp::DOUBLE / (tp + fp)) + (tp::DOUBLE / (tp + fn))) ELSE 0.0 END AS f1 FROM (SELECT coalesce(category, 'OVERALL') AS category, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM ({_SCORES}) GROUP BY ROLLUP (category))")
+def eval_micro_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    is_line = lambda n: F.count(F.when(F.col("l_linenumber") == n, 1))
+    rows = _table(spark, folder, "lineitem").rollup("l_returnflag").agg(is_line(1).alias("tp"), is_line(2).alias("fp"), is_line(3).alias("fn"))
+    return evaluate.scored(rows.select(F.coalesce("l_returnflag", F.lit("OVERALL")).alias("category"), "tp", "fp", "fn"))
+
+
+@_query(
+    """WITH p AS (SELECT l_orderkey, l_linenumber AS k, l_partkey % 40 AS s FROM lineitem), t AS (SELECT DISTINCT l_orderkey, 20 AS s FROM lineitem)
+SELECT l_orderkey, least(count(*) FILTER (WHERE p.s < t.s + 10 AND t.s < p.s + 8), 1)::INT AS tp FROM p JOIN t USING (l_orderkey) GROUP BY l_orderkey"""
+)
+def eval_counts(spark: SparkSession, folder: str) -> DataFrame:
+    item = F.struct((F.col("l_partkey") % 40).cast("int").alias("start"), (F.col("l_partkey") % 40 + 8).cast("int").alias("end"), F.lit("a").alias("category"))
+    rows = _table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("p"))
+    truth = F.array(F.struct(F.lit(20).alias("start"), F.lit(30).alias("end"), F.lit("a").alias("category")))
+    return rows.select("l_orderkey", evaluate.matched(F.col("p"), truth).alias("tp"))
+
+
+@_query("SELECT o_orderkey, o_orderkey AS paragraphs_scanned, o_custkey AS text_redactions, CASE WHEN o_orderkey % 3 = 2 THEN 'Stream missing file marker' WHEN o_orderkey % 3 = 1 THEN 'bad file' END AS error, CASE WHEN o_orderkey % 3 = 0 THEN 4 ELSE 0 END AS file_bytes FROM orders")
+def parse_response(spark: SparkSession, folder: str) -> DataFrame:
+    """Streams of three outcomes, written and read back."""
+    k, zero = F.col("o_orderkey"), F.lit(0)
+    lines = F.concat(protocol.progress_line(F.lit("analyzing_text"), F.lit(1), F.lit(2)), protocol.metrics_line(k, zero, zero, F.col("o_custkey"), zero))
+    tail = F.when(k % 3 == 0, F.lit(protocol.MARKER + "PK\n!")).when(k % 3 == 1, protocol.error_line(F.lit("bad file"))).otherwise(F.lit(""))
+    rows = _table(spark, folder, "orders").select("o_orderkey", protocol.parsed(F.encode(F.concat(lines, tail), "utf-8")).alias("r"))
+    return rows.select("o_orderkey", F.col("r.metrics.paragraphs_scanned").alias("paragraphs_scanned"), F.col("r.metrics.text_redactions").alias("text_redactions"), F.col("r.error").alias("error"), F.coalesce(F.length("r.file"), F.lit(0)).alias("file_bytes"))
+
+
+@_query(f"SELECT lang, count(*) AS documents, sum(n)::BIGINT AS redactions FROM (SELECT d.lang, (SELECT count(*) FROM ({_spans_sql(_DOCUMENTS, 'doc_id', patterns.EMAIL)}) s WHERE s.doc_id = d.doc_id) AS n FROM documents d) GROUP BY lang")
+def doc_summary(spark: SparkSession, folder: str) -> DataFrame:
+    rows = detect(_table(spark, folder, "documents"), policy=Policy.only("email"), found=None)
+    return rows.groupBy("lang").agg(F.count("*").alias("documents"), F.sum(F.size("detections")).alias("redactions"))
+
+
+@_query(_SQL["redact_text"])
+def stream_redact_available_now(spark: SparkSession, folder: str) -> DataFrame:
+    from quillveil.streaming import redact as streaming
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillveil-")
+    run = f"{base.rstrip('/')}/stream-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    streaming.start(streaming.read(spark, folder, "documents"), f"{run}/out", f"{run}/state", Policy.only("ip")).awaitTermination()
+    rows = spark.read.parquet(f"{run}/out")
+    return rows.where(rows["text"] != rows["redacted"]).select("doc_id", "redacted")
+
+
+@_query()
+def docx_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations packed as DOCX files, redacted, and read again."""
+    import pyarrow as pa
+
+    from quillveil.plans.documents import redact_documents
+    from quillveil.sources import docx
+
+    def pack(batches):
+        for batch in batches:
+            made = [docx.package([[t or ""]]) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(m) for m in made], pa.int64()), pa.array(made, pa.binary())], names=["path", "length", "content"])
+
+    rows = _table(spark, folder, "conversations").select(F.format_string("%d-%d.docx", "conv_id", "turn").alias("path"), "text")
+    out = redact_documents(rows.mapInArrow(pack, "path string, length long, content binary"))
+    again = docx.paragraphs(out.where("status = 'done'").select("path", F.col("output").alias("content")))
+    return again.select("path", F.array_join("runs", "").alias("text"))
+
+
+@_query()
+def mask_png(spark: SparkSession, folder: str) -> DataFrame:
+    """White images, one an order, with the boxes of its lines masked: how many pixels are black."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quillveil.sources import png
+
+    x, y = F.col("l_partkey") % 40, F.col("l_suppkey") % 30
+    rows = _table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.collect_list(layout.box(x, y, x + 9, y + 4)).alias("boxes"))
+
+    def run(batches):
+        white = png.encode(np.full((40, 60, 3), 255, np.uint8))
+        for batch in batches:
+            black = [int((png.decode(png.masked(white, [(b["x1"], b["y1"], b["x2"], b["y2"]) for b in boxes])) == 0).all(axis=2).sum()) for boxes in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(black, pa.int64())], names=["l_orderkey", "black"])
+
+    return rows.mapInArrow(run, "l_orderkey long, black long")
+
+
