@@ -73,7 +73,8 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
             raise ValueError(f"header line at {at} has no end")
         line = data[at:end].decode().rstrip("\r")
         if not version:
-            body = data[end + 1 : end + 1 + int(line.rsplit(" ", 1)[1])]
+            size = line.rpartition(" ")[2]
+            body = data[end + 1 : end + 1 + int(size)] if size.isdigit() else b""
             if not line.startswith("filedesc:") or not (m := re.match(rb"(\d+) ", body)) or int(m[1]) not in _FIELDS:
                 raise ValueError("not an ARC file of version 1 or 2")
             version, at = int(m[1]), end + 1 + len(body)
