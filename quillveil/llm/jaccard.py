@@ -48,6 +48,8 @@ COMMON = 1 << 17
 COMMON_FROM = 48
 #: Ids of documents whose texts are needed are sent to every task up to this number (8 MB), beyond it joined by a shuffle.
 SENT = 1 << 20
+#: Documents of a class in one part, parts of a class at most, and classes of parts sent to every task at most (24 bytes each).
+PART, SALTS, LARGE = 256, 4096, 1 << 16
 _ENTRY = np.dtype([("t", "<u4"), ("k", "<i8"), ("n", "<u2"), ("heat", "u1")])
 _SIZE_STEPS = 4000
 _RINGS = 20
@@ -469,9 +471,22 @@ def links(documents: DataFrame, classes: DataFrame, k: int = K) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document: the smallest doc_id that links lead to."""
-    classes = stored(signatures(documents, k))
-    reps = classes.where("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"))
+    """doc_id, n_shingles, component_id of every document: the smallest doc_id that links lead to.
+
+    Only classes whose component is not their only document's own are joined back, a large class's documents in parts.
+    """
+    classes = stored(signatures(documents, k).select("doc_id", "n_shingles", "a", "b", "sketch"))
     labels = components(stored(links(documents, classes, k)))
-    reps = reps.join(labels, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("label", "rep").alias("component"))
-    return classes.join(reps, ["a", "b"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    sized = classes.where("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
+    sized = sized.join(labels, F.col("rep") == F.col("node"), "left").select("a", "b", "size", F.coalesce("label", "rep").alias("component"), F.col("rep"))
+    sized = stored(sized.where("size > 1 or component <> rep"))
+    many = F.greatest(F.lit(1), F.floor(F.col("size") / PART))
+    parts = sized.select("a", "b", "component", F.explode(F.sequence(F.lit(0), F.least(many, F.lit(SALTS)).cast("int") - 1)).alias("part"))
+    large = stored(sized.where(F.col("size") >= 2 * PART).select("a", "b", F.least(many, F.lit(SALTS)).cast("int").alias("parts")))
+    rows = classes.select("doc_id", "n_shingles", "a", "b")
+    if large.count() <= LARGE:
+        rows = rows.join(F.broadcast(large), ["a", "b"], "left")
+    else:  # their number grows with the corpus; then a class's rows are split by the join itself
+        rows, parts = rows.withColumn("parts", F.lit(1)), parts.where("part = 0")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int"))
+    return rows.join(parts, ["a", "b", "part"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
