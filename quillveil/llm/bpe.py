@@ -11,10 +11,10 @@ repeated rows included. Bytes of a text never cross a pre-token, so texts of any
 from __future__ import annotations
 
 import base64
-import heapq
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,7 @@ from quillveil.llm.workers import lean
 
 #: Pre-tokens that a task remembers; beyond this it forgets all and starts again.
 REMEMBERED = 300_000
+_PLACE = (1 << 40) - 1
 
 
 class PerfectHash:
@@ -107,25 +108,37 @@ class Vocabulary:
 
     def merged(self, data: bytes) -> list[int]:
         """Ids of a pre-token by merging: a heap over linked bytes."""
-        pairs, ids = self.pairs, [self.single[b] for b in data]
+        get, ids = self.pairs.get, [self.single[b] for b in data]
         n = len(ids)
-        heap = [(r, i) for i in range(n - 1) if (r := pairs.get(ids[i] << 20 | ids[i + 1])) is not None]
+        now = [-1] * n  # rank of the pair that starts here; older heap entries differ from it
+        heap = []
+        for i in range(n - 1):
+            if (r := get(ids[i] << 20 | ids[i + 1])) is not None:
+                now[i] = r
+                heap.append(r << 40 | i)
         if not heap:
             return ids
-        heapq.heapify(heap)
+        heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            rank, i = heapq.heappop(heap)
-            if ids[i] < 0 or (j := after[i]) >= n or pairs.get(ids[i] << 20 | ids[j]) != rank:
+            x = heappop(heap)
+            i, rank = x & _PLACE, x >> 40
+            if now[i] != rank:
                 continue
-            ids[i], ids[j] = rank, -1
+            j = after[i]
             after[i] = k = after[j]
+            ids[i], ids[j], now[i], now[j] = rank, -1, -1, -1
             if k < n:
                 before[k] = i
-                if (r := pairs.get(rank << 20 | ids[k])) is not None:
-                    heapq.heappush(heap, (r, i))
-            if (h := before[i]) >= 0 and (r := pairs.get(ids[h] << 20 | rank)) is not None:
-                heapq.heappush(heap, (r, h))
+                if (r := get(rank << 20 | ids[k])) is not None:
+                    now[i] = r
+                    heappush(heap, r << 40 | i)
+            if (h := before[i]) >= 0:
+                if (r := get(ids[h] << 20 | rank)) is None:
+                    now[h] = -1
+                else:
+                    now[h] = r
+                    heappush(heap, r << 40 | h)
         return [x for x in ids if x >= 0]
 
     def learn(self, tokens: set[str]) -> None:
