@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by an adaptive scan of dimensions within the probed lists of an inverted file.
 
 The index is fitted on a bounded sample: centroids by k-means, and a random rotation, after which each block of dimensions
-holds a like part of any distance. All vectors are then assigned to lists. A query probes the lists nearest to it. In a list
+holds a like part of any distance. All vectors are then assigned to lists. A query probes the lists nearest to it, as many
+as the sample's own neighbours call for. In a list
 the rotated vectors are scanned in column blocks; after each block a hypothesis test drops a candidate whose partial distance
 is, with the chosen confidence, too large for it to be among the nearest so far. What survives all blocks is measured on the
 original vectors in double precision.
@@ -28,8 +29,10 @@ from quillveil.llm.workers import lean
 #: Vectors that the index is fitted on, about.
 SAMPLE = 20_000
 LISTS = 256
-#: Share of the lists that a query probes.
-PROBED = 0.25
+#: Share of the sample's true neighbours that the probed lists must hold; it sets how many lists a query probes.
+HELD = 0.97
+#: Sampled vectors whose neighbours in the sample are found exactly for that.
+TRIED = 200
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 256
 COLUMNS = 16
@@ -40,6 +43,7 @@ CONFIDENCE = 2.6
 class Index(NamedTuple):
     rotation: np.ndarray
     centroids: np.ndarray
+    probes: int
 
 
 def usable(vector: Column) -> Column:
@@ -67,7 +71,22 @@ def fit(vectors: DataFrame, lists: int = LISTS, sample: int = SAMPLE, seed: int
         np.add.at(sums, nearest, x)
         counts = np.bincount(nearest, minlength=k)
         centroids = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], x[rng.choice(len(x), k)])
-    return Index(rotation, centroids)
+    return Index(rotation, centroids, _probes(centroids, x, rng))
+
+
+def _probes(centroids: np.ndarray, x: np.ndarray, rng: np.random.Generator, k: int = 10) -> int:
+    """Nearest lists to probe so that they hold the share HELD of the neighbours that sampled vectors have in the sample.
+
+    A sample's neighbours lie farther off than those among all vectors, so the number errs on the large side.
+    """
+    lists = assign(centroids, x)
+    ranks = [np.zeros(1, np.int64)]
+    for i in rng.choice(len(x), min(TRIED, len(x)), replace=False):
+        far = ((x - x[i]) ** 2).sum(1)
+        far[i] = np.inf
+        place = np.argsort(np.argsort((centroids**2).sum(1) - 2 * centroids @ x[i], kind="stable"))
+        ranks.append(place[lists[np.argsort(far, kind="stable")[: min(k, len(x) - 1)]]])
+    return int(np.quantile(np.concatenate(ranks), HELD, method="higher")) + 1
 
 
 def assign(centroids: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -109,7 +128,7 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = LISTS, probed: float = PROBED) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = LISTS) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k nearest found of each query, among all rows of another id.
 
     vectors and queries: (id, vector). Queries and candidates meet list by list; the best k of each meeting are merged.
@@ -132,7 +151,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = LIS
     rows = vectors.select(F.col("id").cast("long"), F.col("vector").cast("array<double>")).mapInArrow(lean(put), schema)
     held = {r[0]: r[1] for r in rows.groupBy("list").count().collect()}  # at most LISTS rows
     filled = np.array([held.get(i, 0) for i in range(len(index.centroids))])
-    least = max(8, int(np.ceil(probed * len(filled))))
+    least = max(8, index.probes)
 
     def probe(batches):
         centroids = shared.value.centroids

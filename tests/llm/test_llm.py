@@ -384,3 +384,17 @@ def test_pipeline_against_brute_force(spark, encoder, tmp_path):
 def test_queries_run_and_return_their_columns(spark, name):
     frame = queries.queries()[name](spark, SF)
     assert frame.count() > 0 and len(set(frame.columns)) == len(frame.columns)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_op3_recall_on_the_tables(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
+    x, ids = np.array([r.embedding for r in rows], np.float64), np.array([r.vec_id for r in rows])
+    found = queries.op3_nearest_neighbours(spark, folder).collect()
+    best = {}
+    for q in {r.query_id for r in found}:
+        score = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        score[ids == q] = np.inf
+        best[q] = set(ids[np.lexsort((ids, score))[:10]])
+    assert len(best) == (ids % 100 == 0).sum() and sum(r.vec_id in best[r.query_id] for r in found) >= 0.93 * 10 * len(best)
