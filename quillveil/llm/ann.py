@@ -9,8 +9,8 @@ original vectors in double precision.
 
 Lists are cut into blocks of rows, and a list's queries into blocks of queries, so a list of any size is many small tasks.
 
-Edge cases: vectors that are null, empty, zero, of another dimension than most, or with null or non-finite components take no
-part, as query or candidate; equal distances go to the smaller id; repeated rows are candidates of their own; an empty table,
+Edge cases: vectors that are null, empty, zero, of another dimension than most, with null or non-finite components or without an
+id take no part, as query or candidate; equal distances go to the smaller id; repeated rows are candidates of their own; an empty table,
 or one without queries, gives no rows.
 """
 
@@ -133,11 +133,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = LIS
 
     vectors and queries: (id, vector). Queries and candidates meet list by list; the best k of each meeting are merged.
     """
-    vectors = vectors.where(usable(F.col("vector")))
+    vectors = vectors.where(F.col("id").isNotNull() & usable(F.col("vector")))
     sizes = vectors.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     dim = sizes[0][0] if sizes else 1
     vectors = vectors.where(F.size("vector") == dim)
-    queries = queries.where(usable(F.col("vector")) & (F.size("vector") == dim))
+    queries = queries.where(F.col("id").isNotNull() & usable(F.col("vector")) & (F.size("vector") == dim))
     index = fit(vectors, lists)
     shared = vectors.sparkSession.sparkContext.broadcast(index)  # at most LISTS centroids
 
