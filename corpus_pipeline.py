@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillveil.llm import bpe, jaccard, mixing, pii, toxicity
 from quillveil.llm.queries import VOCABULARY
-from quillveil.llm.store import shared_folder
+from quillveil.llm.store import shared_folder, stored
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +23,18 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies; of repeated rows, one."""
-    groups = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the smallest doc_id of each group of near copies; of rows with equal doc_id and text, one.
+
+    Rows of one doc_id go or stay together otherwise; rows without a doc_id stay.
+    """
+    groups = jaccard.near_duplicates(docs.select("doc_id", "text")).where("doc_id is not null")
+    ids = groups.groupBy("doc_id").agg(F.min(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("rows"))
+    marked = stored(ids.where("not first or rows > 1"))
+    kept = docs.join(marked, "doc_id", "left_anti").select(*docs.columns)
+    again = marked.where("first").select("doc_id")
+    if again.limit(1).count():
+        kept = kept.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+    return kept
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
