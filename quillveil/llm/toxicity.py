@@ -12,7 +12,7 @@ of a document count once, by minima of shingle hashes. A logistic model of the c
 
 Learning reads at most `SAMPLE` labelled documents of each label, those with the smallest hash of doc_id; scoring reads all.
 
-Edge cases: null and empty texts match nothing and have the score of a clean text; null labels teach nothing; repeated rows
+Edge cases: null and empty texts match nothing and have the score of a clean text, below one half; null labels teach nothing; repeated rows
 are scored alike; without labelled rows, or with one label only, a built-in list of insults is used; an empty table gives no
 rows.
 """
@@ -38,6 +38,8 @@ from quillveil.llm.workers import lean
 #: Labelled documents of each label that learning reads at most.
 SAMPLE = 3000
 STEM = range(3, 9)
+#: Log-odds, at most, of a text in which nothing matches: without evidence a text is not toxic, whatever labels prevail.
+UNMATCHED = -0.5
 THREATS = ("kill you", "hurt you", "beat you", "find you", "burn you", "shoot you", "hunt you", "destroy you", "tue dich", "bring dich um", "te mataré", "te tuer")
 INSULTS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown")
 TARGETS = frozenset("you your yours yourself he she they them him her u du dich dir ihr euch sie tu te toi vous il elle ils tú usted ustedes él ella ellos".split())
@@ -182,13 +184,17 @@ def probability(features: np.ndarray, coefficients: tuple[float, ...]) -> np.nda
     return 1 / (1 + np.exp(-np.clip(_inputs(features) @ np.array(coefficients), -30, 30)))
 
 
-def _fit(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
-    """Logistic regression by Newton steps."""
+def _fit(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0, constant: float | None = None) -> tuple[float, ...]:
+    """Logistic regression by Newton steps, its constant fixed if one is given."""
     x, w = _inputs(features), np.zeros(features.shape[1] + 1)
+    if constant is not None:
+        w[0] = constant
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         penalty = np.r_[1e-3, np.full(features.shape[1], ridge)]
         gradient = x.T @ (p - labels) + penalty * w
+        if constant is not None:
+            gradient[0], penalty[0] = 0, 1e12
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), gradient)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -243,7 +249,9 @@ def learn(texts: list[str], labels: list[int], least: float = 0.006, odds: float
     reader = Reader(model)
     both = toxic + clean
     features = np.array([reader.features(t) for t in both])
-    return model._replace(coefficients=_fit(features, np.r_[np.ones(len(toxic)), np.zeros(len(clean))]))
+    targets = np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
+    coefficients = _fit(features, targets)
+    return model._replace(coefficients=coefficients if coefficients[0] <= UNMATCHED else _fit(features, targets, constant=UNMATCHED))
 
 
 def held_out(doc_id: Column) -> Column:

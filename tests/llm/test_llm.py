@@ -159,7 +159,7 @@ def test_op3_recall_ties_and_unusable_vectors(spark):
     centres = rng.standard_normal((20, 16))
     x = centres[rng.integers(0, 20, 3000)] + 0.3 * rng.standard_normal((3000, 16))
     x[5:40] = x[0]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(10_000, None), (10_100, [0.0] * 16), (10_200, [float("nan")] * 16), (10_300, [1.0, None] * 8), (10_400, [1.0])]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(10_000, None), (10_100, [0.0] * 16), (10_200, [float("nan")] * 16), (10_300, [1.0, None] * 8), (10_400, [1.0]), (None, [1.0] * 16)]
     df = spark.createDataFrame(rows, "id long, vector array<double>")
     got = {}
     for r in ann.search(df, df.where("id % 100 = 0")).collect():
@@ -277,6 +277,13 @@ def test_toxicity_grammar():
     assert toxicity.compose(toxicity.negation(), toxicity.insult(), "ihunro").run("noi") == [0.0, 0.0, 0.1]
 
 
+def test_texts_without_a_match_are_not_toxic():
+    rng = np.random.default_rng(21)
+    texts = [" ".join(f"{c}{rng.integers(900)}" for c in "abcdefgh") for _ in range(60)]
+    model = toxicity.learn(texts, [int(i % 6 > 0) for i in range(60)])
+    assert toxicity.probability(np.zeros((1, 3)), model.coefficients)[0] < 0.5
+
+
 def test_op7_edges(spark):
     df = documents(spark, ODD)
     labels = spark.createDataFrame([(0, None), (1, 1)], "doc_id long, toxic int")
@@ -380,6 +387,15 @@ def test_pipeline_against_brute_force(spark, encoder, tmp_path):
     assert sorted(r.ids for r in after["byte_bpe"]) == sorted(encoder.encode_ordinary(r.text) for r in after["mixing"])
 
 
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    base = " ".join(f"clean{i}" for i in range(40))
+    rows = [(5, base), (5, base), (7, base + " end"), (8, "alone " * 9), (8, "alone " * 9), (9, None), (9, None), (None, base), (10, "other text of more than five words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("first", F.lit("clash")).withColumn("rows", F.lit("clash"))
+    kept = corpus_pipeline.one_of_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["10", "5", "8", "9", "None"]
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_run_and_return_their_columns(spark, name):
     frame = queries.queries()[name](spark, SF)
