@@ -113,50 +113,50 @@ class Network(NamedTuple):
     moves: np.ndarray
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 def _lstm(x: np.ndarray, w: np.ndarray, keep: bool = False):
     """States (time, batch, hidden) of a gate order input, forget, output, candidate."""
     steps, batch, inputs = x.shape
     hidden = w.shape[1] // 4
-    fed = (x.reshape(-1, inputs) @ w[:inputs] + w[-1]).reshape(steps, batch, -1)
-    recurrent = w[inputs:-1]
-    h, c = np.zeros((batch, hidden), w.dtype), np.zeros((batch, hidden), w.dtype)
-    states, kept = np.empty((steps, batch, hidden), w.dtype), []
+    halved = w * np.repeat(np.array((0.5, 0.5, 0.5, 1), w.dtype), hidden)  # a sigmoid is a tanh of half its argument
+    gates = (x.reshape(-1, inputs) @ halved[:inputs] + halved[-1]).reshape(steps, batch, 4 * hidden)
+    recurrent = halved[inputs:-1]
+    states, cells, bent = (np.zeros((steps + 1, batch, hidden), w.dtype) for _ in range(3))
+    fed, held = np.empty((batch, 4 * hidden), w.dtype), np.empty((batch, hidden), w.dtype)
     for t in range(steps):
-        z = fed[t] + h @ recurrent
-        gates, g = _sigmoid(z[:, : 3 * hidden]), np.tanh(z[:, 3 * hidden :])
-        before = c
-        c = gates[:, hidden : 2 * hidden] * c + gates[:, :hidden] * g
-        tc = np.tanh(c)
-        if keep:
-            kept.append((h, before, gates, g, tc))
-        h = gates[:, 2 * hidden :] * tc
-        states[t] = h
-    return (states, kept) if keep else states
-
-
-def _lstm_gradient(x: np.ndarray, w: np.ndarray, kept: list, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z, c = gates[t], cells[t + 1]
+        z += np.matmul(states[t], recurrent, out=fed)
+        np.tanh(z, out=z)
+        opened = z[:, : 3 * hidden]
+        opened *= 0.5
+        opened += 0.5
+        np.multiply(z[:, hidden : 2 * hidden], cells[t], out=c)
+        c += np.multiply(z[:, :hidden], z[:, 3 * hidden :], out=held)
+        np.tanh(c, out=bent[t + 1])
+        np.multiply(z[:, 2 * hidden : 3 * hidden], bent[t + 1], out=states[t + 1])
+    return (states[1:], (states[:-1], cells[:-1], gates, bent[1:])) if keep else states[1:]
+
+
+def _lstm_gradient(x: np.ndarray, w: np.ndarray, kept: tuple[np.ndarray, ...], d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     steps, batch, inputs = x.shape
     hidden = w.shape[1] // 4
-    dz = np.empty((steps, batch, 4 * hidden), w.dtype)
+    states, cells, gates, bent = kept
+    i, f, o, g = (gates[:, :, k * hidden : (k + 1) * hidden] for k in range(4))
+    by_cell = np.stack((g * i * (1 - i), cells * f * (1 - f), i * (1 - g * g)), 2)
+    by_state, through = bent * o * (1 - o), o * (1 - bent * bent)
+    dz = np.empty((steps, batch, 4, hidden), w.dtype)
     dh, dc = np.zeros((batch, hidden), w.dtype), np.zeros((batch, hidden), w.dtype)
+    back = np.ascontiguousarray(w[inputs:-1].T)
     for t in range(steps - 1, -1, -1):
-        _, before, gates, g, tc = kept[t]
-        i, f, o = gates[:, :hidden], gates[:, hidden : 2 * hidden], gates[:, 2 * hidden :]
-        dh = dh + d[t]
-        dc = dc + dh * o * (1 - tc * tc)
+        dh += d[t]
+        dc += dh * through[t]
         z = dz[t]
-        z[:, :hidden] = dc * g * i * (1 - i)
-        z[:, hidden : 2 * hidden] = dc * before * f * (1 - f)
-        z[:, 2 * hidden : 3 * hidden] = dh * tc * o * (1 - o)
-        z[:, 3 * hidden :] = dc * i * (1 - g * g)
-        dh, dc = z @ w[inputs:-1].T, dc * f
+        np.multiply(dc[:, None], by_cell[t, :, :2], out=z[:, :2])
+        np.multiply(dh, by_state[t], out=z[:, 2])
+        np.multiply(dc, by_cell[t, :, 2], out=z[:, 3])
+        dh = z.reshape(batch, -1) @ back
+        dc *= f[t]
     flat = dz.reshape(-1, 4 * hidden)
-    before_h = np.stack([k[0] for k in kept]).reshape(-1, hidden)
-    dw = np.concatenate((x.reshape(-1, inputs).T @ flat, before_h.T @ flat, flat.sum(0, keepdims=True)))
+    dw = np.concatenate((x.reshape(-1, inputs).T @ flat, states.reshape(-1, hidden).T @ flat, flat.sum(0, keepdims=True)))
     return (flat @ w[:inputs].T).reshape(steps, batch, inputs), dw
 
 
@@ -195,24 +195,23 @@ def allowed_moves() -> np.ndarray:
 def _crf_gradient(scores: np.ndarray, moves: np.ndarray, tags: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Negative log-likelihood a window, and its gradients by scores (time, batch, tags) and moves."""
     steps, batch, _ = scores.shape
-    top = lambda x, axis: (m := x.max(axis, keepdims=True), np.log(np.exp(x - m).sum(axis)) + m.squeeze(axis))[1]
-    a, b = np.empty_like(scores), np.zeros_like(scores)
-    a[0] = scores[0]
-    for t in range(1, steps):
-        a[t] = top(a[t - 1][:, :, None] + moves, 1) + scores[t]
-    for t in range(steps - 2, -1, -1):
-        b[t] = top(moves[None] + (scores[t + 1] + b[t + 1])[:, None, :], 2)
-    z = top(a[-1], 1)
-    d = np.exp(a + b - z[None, :, None])
-    dm = np.zeros_like(moves)
-    for t in range(1, steps):
-        dm += np.exp(a[t - 1][:, :, None] + moves + (scores[t] + b[t])[:, None, :] - z[:, None, None]).sum(0)
-    rows = np.arange(batch)
-    gold = sum(scores[t][rows, tags[:, t]].sum() for t in range(steps)) + moves[tags[:, :-1], tags[:, 1:]].sum()
+    highest = scores.max(2)
+    e, m = np.exp((scores - highest[:, :, None]).astype(np.float64)), np.exp(moves.astype(np.float64))
+    a, b, c = np.empty_like(e), np.ones_like(e), np.empty((steps, batch, 1))  # shares of the paths up to t and from it, and their scale
     for t in range(steps):
-        d[t][rows, tags[:, t]] -= 1
+        a[t] = (a[t - 1] @ m) * e[t] if t else e[t]
+        c[t] = a[t].sum(1, keepdims=True)
+        a[t] /= c[t]
+    e /= c
+    for t in range(steps - 2, -1, -1):
+        b[t] = (e[t + 1] * b[t + 1]) @ m.T
+    d = a * b
+    dm = m * (a[:-1].reshape(-1, TAGS).T @ (e[1:] * b[1:]).reshape(-1, TAGS))
+    at = np.arange(steps)[:, None], np.arange(batch)[None, :], tags.T
+    gold = scores[at].sum() + moves[tags[:, :-1], tags[:, 1:]].sum()
+    d[at] -= 1
     np.subtract.at(dm, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), 1)
-    return float(z.sum() - gold) / batch, d / batch, dm / batch
+    return float(np.log(c).sum() + highest.sum() - gold) / batch, (d / batch).astype(scores.dtype), (dm / batch).astype(moves.dtype)
 
 
 def examples(n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
