@@ -2,10 +2,11 @@
 
 Base spans are the leftmost matches of four patterns that pass their checks (`base_spans`). The network, trained in numpy on
 labelled spans that `examples` makes from a seed, adds spans that the patterns don't reach: phone numbers without a plus sign,
-spelled-out addresses and the like. Regions round digits and at signs are covered by overlapping windows; their emissions are
-averaged where windows overlap, and one Viterbi pass over the region decodes them together. No span of the four kinds is
-without a digit, an at sign or a spelled-out one, so text elsewhere has none. A decoded span must pass its kind's check and
-must not overlap a base span.
+spelled-out addresses and the like. Overlapping windows read it on a grid over the text; their emissions are averaged where
+windows overlap, and one Viterbi pass over a region decodes them together. No span that passes its kind's check lies outside the
+runs of digits and what may stand between them, or the words and address-like runs, of any length, round at signs, so only the
+windows that read a character of those are run. A decoded piece of an address run stands for the whole of it. A decoded span
+must pass its kind's check and must not overlap a base span.
 
 Edge cases: null and empty texts have no spans; offsets are code points, ends exclusive; long texts are read whole; spans of
 different kinds may overlap among the base spans; repeated rows have equal spans; an empty table gives no rows.
@@ -14,6 +15,7 @@ different kinds may overlap among the base spans; repeated rows have equal spans
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -303,13 +305,50 @@ def train(seed: int = 7, hidden: int = 24, size: int = 16, steps: int = 400, bat
     return Network(*net)
 
 
-def regions(text: str, margin: int = 20) -> list[tuple[int, int]]:
-    """Ranges round every character that a span needs, joined where they meet."""
+_AT = re.compile(r"@|[\[(] ?at ?[\])]", re.I)
+_RUN = re.compile(r"[0-9][0-9 ().+/-]*")
+#: An address may be spelled out, with or without blanks: local part before the at sign (matched backwards), host after it.
+_DOT = r"\s*[\[(] ?dot ?[\])]\s*"
+_BEFORE = re.compile(r"\s*+[\w.%+-]++(?:\s*[\])] ?tod ?[\[(]\s*[\w.%+-]++)*+", re.I)
+_AFTER = re.compile(rf"\s*+[\w-]++(?:(?:\.|{_DOT})[\w-]++)*+", re.I)
+_ADDRESS = re.compile(rf"[\w.%+-]++(?:{_DOT}[\w.%+-]++)*+\s*+(?:{_AT.pattern})\s*+[\w-]++(?:(?:\.|{_DOT})[\w-]++)++", re.I)
+#: A decoded address without that form has so many words at most.
+WORDS = 6
+
+
+def address_runs(text: str) -> list[tuple[int, int, int, int]]:
+    """Each at sign's ends, and those of the local part and the host round it."""
+    out, backwards = [], ""
+    for m in _AT.finditer(text):
+        backwards = backwards or text[::-1]
+        before, after = _BEFORE.match(backwards, len(text) - m.start()), _AFTER.match(text, m.end())
+        out.append((*m.span(), len(text) - before.end() if before else m.start(), after.end() if after else m.end()))
+    return out
+
+
+def cores(text: str) -> list[tuple[int, int]]:
+    """Ranges that every span that passes lies in: runs of digits and what may stand between them, and round each at sign its
+    address run and as many words as an address of another form can have."""
+    out = [(max(0, m.start() - 1), m.end()) for m in _RUN.finditer(text)]
+    if runs := address_runs(text):
+        words = [m.span() for m in re.finditer(r"\S+", text)]
+        starts = [w[0] for w in words]
+        for a, b, x, y in runs:
+            i, j = bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1
+            out.append((min(x, words[max(0, i - WORDS + 1)][0]), max(y, words[min(len(words), j + WORDS) - 1][1])))
+    return sorted(out)
+
+
+def regions(text: str) -> list[tuple[int, int]]:
+    """The cores with every window of the whole text's grid that reads one of their characters, joined where they meet.
+
+    So the cores' emissions are those of windows over the whole text.
+    """
     out: list[tuple[int, int]] = []
-    for m in _NEEDED.finditer(text):
-        a, b = max(0, m.start() - margin), min(len(text), m.end() + margin)
+    for a, b in cores(text):
+        a, b = max(0, a // STRIDE * STRIDE - STRIDE), min(len(text), (b - 1) // STRIDE * STRIDE + SPAN)
         if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
             out.append((a, b))
     return out
@@ -320,7 +359,9 @@ _SPELLED = re.compile(r".+(?:@|[\[(] ?at ?[\])]).+(?:\.|[\[(] ?dot ?[\])]).+", r
 
 def _passes(kind: int, text: str) -> bool:
     if kind == 0:
-        return len(text) >= 6 and len(text.split()) <= 6 and _SPELLED.fullmatch(text) is not None
+        if len(text) < 6 or _SPELLED.fullmatch(text) is None:
+            return False
+        return len(text.split()) <= WORDS or _ADDRESS.fullmatch(text) is not None
     if kind == 1:
         return _IP.fullmatch(text) is not None and _is_ip(text)
     if kind == 2:
@@ -333,6 +374,7 @@ def added_spans(net: Network, texts: list[str], base: list[list[Span]]) -> list[
     places = [(i, a, b) for i, t in enumerate(texts) for a, b in regions(t)]
     places.sort(key=lambda p: p[2] - p[1])
     out: list[list[Span]] = [[] for _ in texts]
+    addresses: dict[int, list[Span]] = {}
     at = 0
     while at < len(places):
         widest, group = 0, []
@@ -340,7 +382,7 @@ def added_spans(net: Network, texts: list[str], base: list[list[Span]]) -> list[
             group.append(places[at])
             widest = places[at][2] - places[at][1]
             at += 1
-        count = max(1, -(-(widest - STRIDE) // STRIDE))
+        count = -(-widest // STRIDE)  # every character has the window that starts before it and the one before that
         padded = np.zeros((len(group), STRIDE * (count + 1)), np.int64)
         for r, (i, a, b) in enumerate(group):
             padded[r, : b - a] = codes(texts[i][a:b])
@@ -368,9 +410,15 @@ def added_spans(net: Network, texts: list[str], base: list[list[Span]]) -> list[
                 text = texts[i][a + s : a + e]
                 start = a + int(s) + len(text) - len(text.lstrip())
                 text = text.strip().rstrip(".,")
-                span = Span(start, int(own[s]) // 2, start + len(text))
-                if text and _passes(span.kind, text) and not any(x.start < span.end and span.start < x.end for x in base[i]):
-                    out[i].append(span)
+                spans = [Span(start, int(own[s]) // 2, start + len(text))]
+                if own[s] == 1:  # addresses are taken whole, whatever part of them was decoded
+                    if i not in addresses:
+                        addresses[i] = [Span(x, 0, y) for *_, x, y in address_runs(texts[i]) if _ADDRESS.fullmatch(texts[i], x, y)]
+                    first, last = bisect_right(addresses[i], start, key=lambda x: x.end), bisect_left(addresses[i], start + len(text), key=lambda x: x.start)
+                    spans = addresses[i][first:last] or spans
+                for span in spans:
+                    if text and _passes(span.kind, texts[i][span.start : span.end]) and span not in out[i] and not any(x.start < span.end and span.start < x.end for x in base[i]):
+                        out[i].append(span)
     return out
 
 

@@ -354,6 +354,20 @@ def test_pii_network_learns():
     assert (tags == ys)[ys > 0].mean() > 0.8
 
 
+def test_pii_reads_long_addresses_whole_as_windows_over_the_whole_text_do(monkeypatch):
+    filler = "Thlyouble the is of inesea ononedth edshhe thes onrein ndwhst thouinor. " * 3
+    addresses = ["sales (at) international-trading-partners (dot) com", "firstname.middlename.lastname.department [at] example [dot] com", "sales (at) international (dot) co (dot) uk", "an.er@the-ion (dot) com"]
+    texts = [f"{a}write to {x} now{b}" for x in addresses for a in ("", filler) for b in ("", " " + filler)] + [f"{filler}call (614) 555-8001{' ' * 50}or {filler}5" + filler, "@" * 3000, "a (at) " * 500]
+    net = pii.train()
+    base = [pii.base_spans(t) for t in texts]
+    found = pii.added_spans(net, texts, base)
+    for t, x, own in zip(texts, np.repeat(addresses, 4), found[:16]):
+        assert x in [t[s.start : s.end] for s in own]
+        assert pii.mask(t, [(pii.KINDS[s.kind], s.start, s.end) for s in own]).count("[EMAIL]") == 1
+    monkeypatch.setattr(pii, "regions", lambda t: [(0, len(t))])
+    assert found == pii.added_spans(net, texts, base)
+
+
 def test_crf_gradient_is_that_of_the_loss():
     rng = np.random.default_rng(14)
     scores, moves, tags = rng.standard_normal((4, 2, pii.TAGS)), rng.standard_normal((pii.TAGS, pii.TAGS)), rng.integers(0, pii.TAGS, (2, 4))
