@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
-Lines that hold a license cue open candidate blocks. A block is compressed with each license template as raw zstandard
-dictionary; the template that saves the largest share of what the block takes without a dictionary is the most likely one.
-Winners are confirmed by exact comparison of words: most words of the template must occur in order, and the words missing and
-added are counted.
+License cues open candidate blocks: at the start of their line and sentence for every template, and, for each template that
+holds the cue, where the template would start if its cue were this one. A block is compressed with a license template as raw
+zstandard dictionary; every template that saves a fair share of what the block takes without a dictionary is held against it by
+exact comparison of words: most words of the template must occur in order, and the words missing and added are counted. The
+template with most words less those is taken.
 
 Edge cases: null and empty texts hold no license; long texts are read whole, line by line; a text with several notices yields
 each of them, repeats included; repeated rows are scanned alike; an empty table gives no rows.
@@ -12,6 +13,7 @@ each of them, repeats included; repeated rows are scanned alike; an empty table
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from difflib import SequenceMatcher
 from functools import lru_cache
 from typing import NamedTuple
@@ -52,7 +54,7 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 CUES = ("licens", "licenc", "copyright", "permission", "redistribut", "public domain", "creative commons", "cc by", "gnu ", "free software")
-#: A block is read from its line's start to this many characters more than a template has.
+#: A block is read to this many characters more than a template has.
 SLACK = 32
 LEAST_GAIN = 0.3
 LEAST_WORDS = 0.85
@@ -88,15 +90,22 @@ def _templates() -> tuple[list[_Template], zstandard.ZstdCompressor]:
     return out, zstandard.ZstdCompressor(compression_params=options)
 
 
-def gains(block: str) -> list[tuple[float, int]]:
-    """Share of the compressed size that each template saves, the largest first, each over a block of its own length."""
+def gain(block: str, i: int) -> float:
+    """Share of the compressed size of a block, of the template's length at most, that template i saves."""
     templates, plain = _templates()
-    out = []
-    for i, t in enumerate(templates):
-        data = block[: len(t.text) + SLACK].encode("utf-8", "surrogatepass")
-        before = len(plain.compress(data))
-        out.append((1 - len(t.compressor.compress(data)) / before, i))
-    return sorted(out, key=lambda x: (-x[0], x[1]))
+    data = block[: len(templates[i].text) + SLACK].encode("utf-8", "surrogatepass")
+    return 1 - len(templates[i].compressor.compress(data)) / len(plain.compress(data))
+
+
+@lru_cache(1)
+def _aligned() -> dict[str, list[tuple[int, int]]]:
+    """Each cue's places in the templates: words before the one that it starts in, and the template."""
+    out: dict[str, set[tuple[int, int]]] = {c: set() for c in CUES}
+    for i, t in enumerate(_templates()[0]):
+        ends = [m.end() for m in _WORD.finditer(t.text)]
+        for m in _CUE.finditer(t.text):
+            out[m[0]].add((bisect_right(ends, m.start()), i))
+    return {c: sorted(x) for c, x in out.items()}
 
 
 def scan(text: str) -> list[Found]:
@@ -109,28 +118,33 @@ def scan(text: str) -> list[Found]:
     out: list[Found] = []
     templates, _ = _templates()
     longest = max(len(t.text) for t in templates) + SLACK
+    spots = [m.span() for m in _WORD.finditer(lower)]
+    ends = [e for _, e in spots]
     done = 0
     for cue in _CUE.finditer(lower):
         if cue.start() < done:
             continue
         line = max(lower.rfind("\n", 0, cue.start()) + 1, done, cue.start() - 200)
         sentence = max(lower.rfind(". ", line, cue.start()) + 2, line)
+        starts = {(start, i) for start in (line, sentence) for i in range(len(templates))}
+        at = bisect_right(ends, cue.start())
+        starts |= {(spots[at - k][0], i) for k, i in _aligned()[cue[0]] if k <= at and spots[at - k][0] >= done}
         best: Found | None = None
-        for start in sorted({line, sentence}):
+        for start, i in sorted(starts):
             block = re.sub(r"\s", " ", lower[start : start + longest])
-            for gain, i in gains(block)[:3]:
-                if gain < LEAST_GAIN:
-                    break
-                t = templates[i]
-                words = [(m[0], m.end()) for m in _WORD.finditer(block[: len(t.text) + SLACK])]
-                match = SequenceMatcher(None, t.words, [w for w, _ in words], autojunk=False).get_matching_blocks()
-                same = sum(m.size for m in match)
-                if not same or same < LEAST_WORDS * len(t.words):
-                    continue
-                last = max(m.b + m.size for m in match if m.size)
-                found = Found(t.license, start, start + words[last - 1][1], round(gain, 4), len(t.words) - same, last - same)
-                if best is None or (found.missing + found.added - len(t.words), -found.gain) < (best.missing + best.added - size, -best.gain):
-                    best, size = found, len(t.words)
+            saved = gain(block, i)
+            if saved < LEAST_GAIN:
+                continue
+            t = templates[i]
+            words = [(m[0], m.end()) for m in _WORD.finditer(block[: len(t.text) + SLACK])]
+            match = SequenceMatcher(None, t.words, [w for w, _ in words], autojunk=False).get_matching_blocks()
+            same = sum(m.size for m in match)
+            if not same or same < LEAST_WORDS * len(t.words):
+                continue
+            last = max(m.b + m.size for m in match if m.size)
+            found = Found(t.license, start, start + words[last - 1][1], round(saved, 4), len(t.words) - same, last - same)
+            if best is None or (found.missing + found.added - len(t.words), -found.gain) < (best.missing + best.added - size, -best.gain):
+                best, size = found, len(t.words)
         if best:
             out.append(best)
             done = best.end

@@ -317,6 +317,19 @@ def test_op9_notices(spark):
     assert licenses.find(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("before", ["All pictures and texts that appear on these pages are ", "as they wrote, " * 20])
+def test_notices_within_a_sentence_are_found(before):
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            found = licenses.scan(f"One. {before}{t} More words.")
+            assert [(x.license, x.start, x.missing, x.added) for x in found] == [(name, 5 + len(before), 0, 0)]
+
+
+def test_every_likely_template_is_compared(monkeypatch):
+    monkeypatch.setattr(licenses, "gain", lambda block, i: 0.9 - i / 100)  # by rank, the right one is last
+    assert [x.license for x in licenses.scan("This is free and unencumbered software released into the public domain.")] == ["Unlicense"]
+
+
 def brute_spans(text):
     out = []
     for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
