@@ -154,13 +154,12 @@ class Reader:
             return 0.0, 0.0, 0.0
         total = most = 0.0
         starts = sorted(events)
-        i = 0
+        i = b = 0
         while i < len(starts):
             at = starts[i]
-            a = max(text.rfind(c, max(0, at - 400), at) for c in ".!?;\n") + 1 or max(0, at - 400)
-            m = _BREAK.search(text, at, at + 400)
-            b = m.start() if m else min(len(text), at + 400)
-            b = max(b, at + 1)
+            a = max(b, *(text.rfind(c, b, at) + 1 for c in ".!?;\n"))
+            m = _BREAK.search(text, at)
+            b = max(m.start() if m else len(text), at + 1)
             symbols, weights = [], []
             for w in _WORD.finditer(text, a, b):
                 kind, weight = events.get(w.start(), (None, 0.0))

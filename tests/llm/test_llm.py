@@ -277,6 +277,15 @@ def test_toxicity_grammar():
     assert toxicity.compose(toxicity.negation(), toxicity.insult(), "ihunro").run("noi") == [0.0, 0.0, 0.1]
 
 
+def test_long_clauses_are_read_once_and_whole():
+    reader = toxicity.Reader(toxicity.Model({"idio": 3.0}, {}, ()))
+    score = lambda t: reader.features(t)[0]
+    long = "plain words, " * 60
+    for before in ("they said ", "you "):
+        assert score(f"Fine. {before}{long}an idiot came. Fine") == score(f"{before}an idiot came") != score("an idiot came")
+    assert score(f"an idiot {long[:390]} an idiot {long[:390]} an idiot. An idiot {long}") == pytest.approx(4 * score("an idiot"))
+
+
 def test_texts_without_a_match_are_not_toxic():
     rng = np.random.default_rng(21)
     texts = [" ".join(f"{c}{rng.integers(900)}" for c in "abcdefgh") for _ in range(60)]
