@@ -2,7 +2,7 @@
 
 Each language has the likelihoods of hashed 4-byte grams of lower-cased text, learned from labelled documents. A document is
 cut into windows of 32 grams; its languages' proportions maximise the likelihood of its windows by expectation-maximisation.
-That is done for the best one, two, three, ... languages, and the set with the largest likelihood less a penalty for each
+That is done for the best one, two, three, ... up to all languages, and the set with the largest likelihood less a penalty for each
 language is taken. The language with the largest proportion is the prediction, its proportion the score.
 
 Learning reads a sample of about `SAMPLE` documents of each language, chosen by hash of doc_id; prediction reads all texts
@@ -31,8 +31,6 @@ from quillveil.llm.workers import lean
 SAMPLE = 4000
 BITS = 16
 WINDOW = 32
-#: Languages that one document can mix.
-MOST = 4
 _LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = np.where((np.arange(256) >= 128) | ((np.arange(256) >= 97) & (np.arange(256) <= 122)), np.arange(256), 32).astype(np.uint32)
 
@@ -111,7 +109,7 @@ def infer(windows: np.ndarray, first: np.ndarray, penalty: float = 3.0) -> tuple
     order = np.argsort(-shares, axis=1, kind="stable")
     best, value = np.zeros((n, k)), np.full(n, -np.inf)
     cost = penalty * np.log(np.diff(first) + 1.0)
-    for size in range(1, min(MOST, k) + 1):
+    for size in range(1, k + 1):
         allowed = np.zeros((n, k))
         np.put_along_axis(allowed, order[:, :size], 1.0, axis=1)
         shares, fit = _mixtures(windows, first, allowed)

@@ -316,6 +316,12 @@ def test_op8_held_out_accuracy_and_mixtures(spark):
     assert language.predict(df.where("false"), model).count() == 0
 
 
+def test_a_document_can_mix_all_languages():
+    windows = np.repeat(np.where(np.eye(7)[:6] > 0, -50.0, -90.0), 20, axis=0)
+    shares, chosen = language.infer(windows, np.array([0, len(windows)]))
+    assert chosen[0].tolist() == [True] * 6 + [False] and shares[0, :6] == pytest.approx(1 / 6)
+
+
 def test_op9_notices(spark):
     texts = [*ODD, "Words.\nReleased under the MIT License.\nMore", "x. Licensed under CC BY-NC 4.0.", "This is no license at all, said she", licenses.TEMPLATES["MIT"][1].upper() + "\nLicensed under the Apache License, Version 2.0."]
     rows = licenses.find(documents(spark, texts)).orderBy("doc_id").collect()
