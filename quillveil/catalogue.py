@@ -553,7 +553,7 @@ def stream_redact_available_now(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query()
 def docx_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Conversations packed as DOCX files, redacted, and read again."""
+    """Conversations packed as DOCX files, redacted, and read again: a row for each turn, its text null where it failed."""
     import pyarrow as pa
 
     from quillveil.plans.documents import redact_documents
@@ -566,8 +566,13 @@ def docx_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
     rows = _table(spark, folder, "conversations").select(F.format_string("%d-%d.docx", "conv_id", "turn").alias("path"), "text")
     out = redact_documents(rows.mapInArrow(pack, "path string, length long, content binary"))
-    again = docx.paragraphs(out.where("status = 'done'").select("path", F.col("output").alias("content")))
-    return again.select("path", F.array_join("runs", "").alias("text"))
+
+    def read(batches):
+        for batch in batches:
+            texts = [None if made is None else "\n".join("".join(p[-1]) for p in docx.paragraphs_of(made)) for made in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(1), batch.column(2)], names=["path", "text", "status", "message"])
+
+    return out.select("path", "status", "message", "output").mapInArrow(read, "path string, text string, status string, message string")
 
 
 @_query()
