@@ -274,9 +274,9 @@ def _reader(stems: tuple, whole: tuple) -> Reader:
     return Reader(Model(dict(stems), dict(whole), ()))
 
 
-def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """documents with columns score and predicted."""
-    names = [c for c in documents.columns if c not in ("score", "predicted")]
+def score(documents: DataFrame, model: Model, text: str = "text", out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """documents with the columns that `out` names: the score, and whether it is at least one half; they replace any of those names."""
+    names = [c for c in documents.columns if c not in out]
     stems, whole, coefficients = tuple(model.stems.items()), tuple(model.whole.items()), model.coefficients
 
     def run(batches):
@@ -284,8 +284,7 @@ def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             found = np.array([reader.features(t or "") for t in batch.column(0).to_pylist()]).reshape(-1, 3)
             p = probability(found, coefficients)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*names, *out])
 
-
-    schema = T.StructType([*(documents.schema[c] for c in names), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([*(documents.schema[c] for c in names), T.StructField(out[0], T.DoubleType()), T.StructField(out[1], T.IntegerType())])
     return documents.select(F.col(text).cast("string").alias("\0text"), *(F.col(f"`{c}`") for c in names)).mapInArrow(lean(run), schema)
