@@ -2,24 +2,28 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept and returns documents of the same columns;
 the last returns doc_id, ids, n_tokens and ids_sha256. Nulls and empty texts pass each stage: they are not toxic, copies of
-nothing, hold no personal data, and are never taken by the mix.
+nothing, hold no personal data, and are never taken by the mix. Repeated rows are one document after the second stage. Columns
+of any name pass through as they are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillveil.llm import bpe, jaccard, mixing, pii, toxicity
 from quillveil.llm.queries import VOCABULARY
-from quillveil.llm.store import shared_folder, stored
+from quillveil.llm.store import remove, scratch, shared_folder, stored
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar scores below one half."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs.withColumn("_text", F.col("text")), model, "_text").where("predicted = 0").select(*docs.columns)
+    scored = toxicity.score(docs, model, out=("\0score", "\0predicted"))
+    return scored.where(F.col("`\0predicted`") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,12 +68,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents of sf_dir, each written as Parquet in the shared folder and read again."""
-    import uuid
+    """The stages over the documents of sf_dir, each written as Parquet in the shared folder and read again.
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    A stage's own tables, and the result of the stage before, are removed once it is written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
