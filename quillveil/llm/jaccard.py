@@ -14,14 +14,15 @@ Two documents link when 100 * intersection >= 75 * union, a distance of at most
    other one of their region can reach by this bound and by size leave the region before any text is moved.
 4. Windows. In a region the distances to the pivot decide: documents within 0.25 of it are linked to it and need not be
    compared with each other; any other two can only be linked if their distances to the pivot differ by at most 0.25. A region
-   of more than `BLOCK` documents is first dealt out for those distances, then its rings of distance are dealt out again in
-   pairs of blocks, each a region of its own with a pivot of its own.
+   of more than `BLOCK` documents is first dealt out for those distances; then the sketches of its rings of distance are dealt
+   out in pairs of blocks, and texts only to the pairs where another document can reach them. Each pair is a region of its own
+   with a pivot of its own.
 
 Cells travel as packed bytes. No list of pairs of a cell or region is ever made: only links that connect something new.
 
 Edge cases: null, empty and blank texts have the empty set, link to nothing and are their own component; a text of one to four
-words is one shingle; equal texts and repeated rows are one class; an empty table gives no rows; columns other than doc_id and
-text are not read. Sets are compared by 64-bit hashes of their shingles.
+words is one shingle; equal texts and repeated rows are one class; rows that share a doc_id are one document, which links to
+whatever any of its texts link to; an empty table gives no rows; columns other than doc_id and text are not read. Sets are compared by 64-bit hashes of their shingles.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillveil.llm.components import components
-from quillveil.llm.store import stored
+from quillveil.llm.store import scratch, stored
 from quillveil.llm.text import mix, shingle_sets
 from quillveil.llm.workers import lean
 
@@ -252,21 +253,21 @@ def reachable(sizes: np.ndarray, sketches: list[np.ndarray]) -> np.ndarray:
 
 
 def pruned(rows: DataFrame, partitions: int) -> DataFrame:
-    """Rows (p, d, n, sketch) of regions to the rows (p, d) that another row of their region can reach."""
+    """Rows (p, d, pivot, n, sketch) of regions to the rows (p, d, pivot) that another row of their region can reach."""
 
     def run(batches):
-        ps, ds = [], []
+        ps, ds, pivots = [], [], []
         for (p,), held in _groups(batches, 1):
-            ids = np.concatenate([b.column(1).to_numpy() for b in held])
-            if len(ids) > 1:
-                sizes = np.concatenate([b.column(2).to_numpy() for b in held])
-                keep = ids[reachable(sizes, [np.frombuffer(x, np.uint8) for b in held for x in b.column(3).to_pylist()])]
-                ps.append(np.full(len(keep), p))
-                ds.append(keep)
+            table = pa.Table.from_batches(held)
+            if len(table) > 1:
+                near = reachable(table["n"].to_numpy(), [np.frombuffer(x, np.uint8) for x in table["sketch"].to_pylist()])
+                ds.append(table["d"].to_numpy()[near])
+                pivots.append(table["pivot"].to_numpy()[near])
+                ps.append(np.full(len(ds[-1]), p))
         if ps:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ps), pa.int64()), pa.array(np.concatenate(ds), pa.int64())], names=["p", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ps), pa.int64()), pa.array(np.concatenate(ds), pa.int64()), pa.array(np.concatenate(pivots), pa.bool_())], names=["p", "d", "pivot"])
 
-    return rows.select("p", "d", "n", "sketch").repartition(partitions, "p").sortWithinPartitions("p", "d").mapInArrow(lean(run), "p long, d long")
+    return rows.select("p", "d", "pivot", "n", "sketch").repartition(partitions, "p").sortWithinPartitions("p", "d").mapInArrow(lean(run), "p long, d long, pivot boolean")
 
 
 def _similar(inter: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -384,17 +385,18 @@ def _sets(column: pa.Array, k: int) -> list[np.ndarray]:
 
 
 def join_units(units: DataFrame, partitions: int, k: int = K) -> DataFrame:
-    """Links (u, v) within each unit of rows (p, i, j, d, text)."""
+    """Links (u, v) within each unit p of rows (p, d, pivot, text)."""
 
     def run(batches):
         us, vs = [], []
-        for (p, _, _), held in _groups(batches, 3):
-            ids, sets = [], []
+        for _, held in _groups(batches, 1):
+            ids, sets, pivots = [], [], []
             for batch in held:
-                ids += batch.column(3).to_pylist()
-                sets += _sets(batch.column(4), k)
+                ids += batch.column(1).to_pylist()
+                pivots += batch.column(2).to_pylist()
+                sets += _sets(batch.column(3), k)
             if len(ids) > 1:
-                for a, b in local_links(sets, ids.index(p) if p in ids else None):
+                for a, b in local_links(sets, pivots.index(True) if True in pivots else None):
                     us.append(ids[a])
                     vs.append(ids[b])
             if len(us) > 50_000:
@@ -402,12 +404,15 @@ def join_units(units: DataFrame, partitions: int, k: int = K) -> DataFrame:
                 us, vs = [], []
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    dealt = units.select("p", "i", "j", "d", "text").repartition(partitions, "p", "i", "j").sortWithinPartitions("p", "i", "j", "d")
+    dealt = units.select("p", "d", "pivot", "text").repartition(partitions, "p").sortWithinPartitions("p", "d")
     return dealt.mapInArrow(lean(run), "u long, v long")
 
 
 def pivot_rings(rows: DataFrame, partitions: int, k: int = K) -> DataFrame:
-    """Rows (p, salt, d, text), each salt with its pivot's row, to (p, d, ring, linked): ring is 20 times the distance."""
+    """Rows (p, salt, d, pivot, text), each salt with its region's pivot, to (p, u, d, ring, linked, n, sketch).
+
+    u is the pivot's id, ring 20 times the distance from it.
+    """
 
     def run(batches):
         for (p, _), held in _groups(batches, 2):
@@ -415,7 +420,7 @@ def pivot_rings(rows: DataFrame, partitions: int, k: int = K) -> DataFrame:
             for batch in held:
                 ids += batch.column(2).to_pylist()
                 sets += _sets(batch.column(3), k)
-            own = sets[ids.index(p)]
+            own = sets[0]
             rings, linked = [], []
             for s in sets:
                 both = np.sort(np.concatenate((own, s)))
@@ -423,9 +428,11 @@ def pivot_rings(rows: DataFrame, partitions: int, k: int = K) -> DataFrame:
                 union = len(own) + len(s) - inter
                 rings.append(_RINGS * (union - inter) // max(1, union))
                 linked.append(100 * inter >= LEAST * union)
-            yield pa.RecordBatch.from_arrays([pa.array([p] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(rings, pa.int32()), pa.array(linked)], names=["p", "d", "ring", "linked"])
+            columns = [pa.array([p] * len(ids), pa.int64()), pa.array([ids[0]] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(rings, pa.int32()), pa.array(linked)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], names=["p", "u", "d", "ring", "linked", "n", "sketch"])
 
-    return rows.select("p", "salt", "d", "text").repartition(partitions, "p", "salt").sortWithinPartitions("p", "salt", "d").mapInArrow(lean(run), "p long, d long, ring int, linked boolean")
+    dealt = rows.select("p", "salt", "d", "text", "pivot").repartition(partitions, "p", "salt").sortWithinPartitions("p", "salt", F.desc("pivot"), "d", "text")
+    return dealt.mapInArrow(lean(run), "p long, u long, d long, ring int, linked boolean, n long, sketch binary").dropDuplicates(["p", "d", "ring", "linked", "sketch"])
 
 
 def links(documents: DataFrame, classes: DataFrame, k: int = K) -> DataFrame:
@@ -434,52 +441,62 @@ def links(documents: DataFrame, classes: DataFrame, k: int = K) -> DataFrame:
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     partitions = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * 5 // (64 << 20)))
     packed = cells(documents, common_shingles(documents, k), 16 * partitions, k)
-    reps = stored(classes.where("n_shingles > 0").groupBy("a").agg(F.min("doc_id").alias("d"), F.min_by(F.struct("n_shingles", "sketch"), "doc_id").alias("s")))
-    found = regions(packed, partitions)
-    found = found.join(reps.select(F.col("a").alias("p"), F.col("d").alias("pd")), "p").join(reps.select(F.col("a").alias("m"), "d", "s.*"), "m")
-    found = stored(found.select(F.col("pd").alias("p"), "d", F.col("n_shingles").alias("n"), "sketch"))
-    size = found.groupBy("p").agg(F.count("*").alias("size"))
-    found = found.join(size, "p").where("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-    few = pruned(found.where("blocks = 1"), partitions).withColumn("blocks", F.lit(1).cast("long"))
-    found = stored(few.unionByName(found.where("blocks > 1").select("p", "d", "blocks")))
-    wanted = stored(found.select("d").distinct())
+    reps = stored(classes.where("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("d"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    # A region is named by the first half of its pivot's class; classes that share it are all in the region.
+    found = regions(packed, partitions).join(reps.select(F.col("a").alias("m"), "d", "n", "sketch"), "m")
+    found = stored(found.select("p", "d", (F.col("m") == F.col("p")).alias("pivot"), "n", "sketch"))
+    sizes = stored(found.groupBy("p").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).withColumn("blocks", F.ceil(F.col("size") / BLOCK)))
+    large = sizes.count()
+    of_region = F.broadcast if large <= LARGE else lambda x: x  # what has a row for each large region
+    found = found.join(of_region(sizes.select("p", "blocks")), "p", "left") if large else found.withColumn("blocks", F.lit(None).cast("long"))
+    members = stored(pruned(found.where("blocks is null"), partitions).withColumn("blocks", F.lit(1).cast("long")).unionByName(found.where("blocks is not null").select("p", "d", "pivot", "blocks")))
+    wanted = stored(members.select("d").distinct())
     if wanted.count() <= SENT:
         wanted = F.broadcast(wanted)
-    texts = documents.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text")).join(wanted, "d", "left_semi").dropDuplicates(["d"])
-    members = stored(found.join(texts, "d"))
-    small = members.where("blocks = 1").select("p", F.lit(0).alias("i"), F.lit(0).alias("j"), "d", "text")
-    out = join_units(small, partitions, k)
-    large = members.where("blocks > 1")
-    if not large.limit(1).count():
+    texts = documents.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text")).join(wanted, "d", "left_semi").dropDuplicates(["d", "text"])
+    members = stored(members.join(texts, "d"))
+    out = join_units(members.where("blocks = 1"), partitions, k).unionByName(_same_id(classes, reps))
+    if not large:
         return out
-    salts = F.when(F.col("d") == F.col("p"), F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).otherwise(F.array(F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")))
-    rings = stored(pivot_rings(large.select("p", F.explode(salts).alias("salt"), "d", "text"), partitions, k).distinct())
-    near = rings.where("linked and d <> p").select(F.col("p").alias("u"), F.col("d").alias("v"))
+    members = members.where("blocks > 1")
+    salts = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).otherwise(F.array(F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")))
+    rings = stored(pivot_rings(members.withColumn("salt", F.explode(salts)), partitions, k))
+    near = rings.where("linked and d <> u").select("u", F.col("d").alias("v"))
     # What is left: unlinked documents against each other and against the linked ones in their window.
     low = rings.where("not linked").groupBy("p").agg(F.min("ring").alias("low"))
-    live = rings.join(low, "p").where((~F.col("linked")) | (F.col("ring") >= F.col("low") - _RINGS // 4 - 1))
+    live = rings.join(of_region(low), "p").where((~F.col("linked")) | (F.col("ring") >= F.col("low") - _RINGS // 4 - 1))
     per = live.groupBy("p", "ring", "linked").agg(F.count("*").alias("in_ring")).withColumn("cuts", F.ceil(F.col("in_ring") / BLOCK))
     shapes = per.groupBy("p").agg(F.collect_list(F.struct("ring", "linked", "cuts")).alias("shape"))  # 42 entries at most
-    live = live.join(shapes, "p")
+    live = live.join(of_region(shapes), "p")
     cuts = F.filter("shape", lambda s: (s["ring"] == F.col("ring")) & (s["linked"] == F.col("linked")))[0]["cuts"]
     live = live.withColumn("own", F.struct("ring", "linked", F.pmod(F.xxhash64("d"), cuts).cast("int").alias("cut")))
     partners = F.flatten(F.transform(F.filter("shape", lambda s: (F.abs(s["ring"] - F.col("ring")) <= _RINGS // 4 + 1) & ~(s["linked"] & F.col("linked"))), lambda s: F.transform(F.sequence(F.lit(0), s["cuts"].cast("int") - 1), lambda c: F.struct(s["ring"].alias("ring"), s["linked"].alias("linked"), c.alias("cut")))))
-    units = live.select("p", "d", "own", F.explode(partners).alias("other"))
-    units = units.select(F.xxhash64("p", F.least("own", "other"), F.greatest("own", "other")).alias("p2"), "p", F.lit(0).alias("i"), F.lit(0).alias("j"), "d").distinct()
-    dealt = units.join(large.select("p", "d", "text"), ["p", "d"]).select(F.col("p2").alias("p"), "i", "j", "d", "text")
+    units = live.select("p", "d", "n", "sketch", "own", F.explode(partners).alias("other"))
+    units = units.select(F.xxhash64("p", F.least("own", "other"), F.greatest("own", "other")).alias("p"), "d", F.lit(False).alias("pivot"), "n", "sketch").dropDuplicates(["p", "d", "sketch"])
+    # Only sketches are copied for each pair of blocks; a text moves to those where another document can reach it.
+    dealt = stored(pruned(units, partitions).distinct()).join(members.select("d", "text").dropDuplicates(["d", "text"]), "d")
     return out.unionByName(near).unionByName(join_units(dealt, partitions, k))
 
 
+def _same_id(classes: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (u, v) from each doc_id that has texts of several classes to the smallest doc_id of each."""
+    rows = classes.where("n_shingles > 0 and doc_id is not null").select("doc_id", "a", "b")
+    several = rows.groupBy("doc_id").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("doc_id")
+    return rows.join(several, "doc_id").join(reps.select("a", "b", "d"), ["a", "b"]).where("doc_id <> d").select(F.col("doc_id").alias("u"), F.col("d").alias("v"))
+
+
 def near_duplicates(documents: DataFrame, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id of every document: the smallest doc_id that links lead to.
 
     Only classes whose component is not their only document's own are joined back, a large class's documents in parts.
     """
+    spark = documents.sparkSession
     classes = stored(signatures(documents, k).select("doc_id", "n_shingles", "a", "b", "sketch"))
-    labels = components(stored(links(documents, classes, k)))
-    sized = classes.where("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-    sized = sized.join(labels, F.col("rep") == F.col("node"), "left").select("a", "b", "size", F.coalesce("label", "rep").alias("component"), F.col("rep"))
-    sized = stored(sized.where("size > 1 or component <> rep"))
+    with scratch(spark):
+        labels = components(stored(links(documents, classes, k)))
+        sized = classes.where("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
+        sized = sized.join(labels, F.col("rep") == F.col("node"), "left").select("a", "b", "size", F.coalesce("label", "rep").alias("component"), F.col("rep"))
+        sized = stored(sized.where("size > 1 or component <> rep"), outer=True)
     many = F.greatest(F.lit(1), F.floor(F.col("size") / PART))
     parts = sized.select("a", "b", "component", F.explode(F.sequence(F.lit(0), F.least(many, F.lit(SALTS)).cast("int") - 1)).alias("part"))
     large = stored(sized.where(F.col("size") >= 2 * PART).select("a", "b", F.least(many, F.lit(SALTS)).cast("int").alias("parts")))
