@@ -10,8 +10,8 @@ original vectors in double precision.
 Lists are cut into blocks of rows, and a list's queries into blocks of queries, so a list of any size is many small tasks.
 
 Edge cases: vectors that are null, empty, zero, of another dimension than most, with null or non-finite components or without an
-id take no part, as query or candidate; equal distances go to the smaller id; repeated rows are candidates of their own; an empty table,
-or one without queries, gives no rows.
+id take no part, as query or candidate; equal distances go to the smaller id; repeated rows are candidates of their own, but
+one query, of which none of them is a candidate; an empty table, or one without queries, gives no rows.
 """
 
 from __future__ import annotations
@@ -26,15 +26,16 @@ from pyspark.sql import functions as F
 
 from quillveil.llm.workers import lean
 
-#: Vectors that the index is fitted on, about.
-SAMPLE = 20_000
-LISTS = 256
+#: Lists are about the square root of the number of vectors, `LISTS` at most; the index is fitted on about `SAMPLE` vectors, or
+#: `PER_LIST` for each list if that is more (131,072 at most).
+LISTS, SAMPLE, PER_LIST = 4096, 20_000, 32
 #: Share of the sample's true neighbours that the probed lists must hold; it sets how many lists a query probes.
 HELD = 0.97
 #: Sampled vectors whose neighbours in the sample are found exactly for that.
 TRIED = 200
+#: A list's rows and queries meet in blocks of so many; a row is copied once for each block of its list's queries.
 BLOCK_ROWS = 4096
-BLOCK_QUERIES = 256
+BLOCK_QUERIES = 4096
 COLUMNS = 16
 #: Larger: fewer wrong drops, later ones.
 CONFIDENCE = 2.6
@@ -55,6 +56,8 @@ def usable(vector: Column) -> Column:
 def fit(vectors: DataFrame, lists: int = LISTS, sample: int = SAMPLE, seed: int = 11, rounds: int = 12) -> Index:
     """Rotation and centroids from a sample of (id, vector), chosen by hash."""
     n = vectors.count()
+    k = int(min(lists, max(1, round(n**0.5))))
+    sample = max(sample, PER_LIST * k)
     chosen = vectors.where(F.xxhash64("id").cast("double") / 2.0**64 + 0.5 < min(1.0, sample / max(1, n))).select("id", "vector").collect()
     chosen.sort(key=lambda r: (r[0], list(r[1])))
     rng = np.random.default_rng(seed)
@@ -63,7 +66,7 @@ def fit(vectors: DataFrame, lists: int = LISTS, sample: int = SAMPLE, seed: int
         row = vectors.select("vector").first()
         x = np.array([row[0]], np.float64) if row else np.zeros((1, 1))
     rotation = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))[0]
-    k = int(min(lists, max(1, n // 64), len(x)))
+    k = min(k, len(x))
     centroids = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
         nearest = assign(centroids, x)
@@ -97,14 +100,14 @@ def assign(centroids: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def scan(rotated: np.ndarray, query: np.ndarray, k: int, threshold: float = np.inf, confidence: float = CONFIDENCE) -> np.ndarray:
-    """Rows that may be among the k nearest of those given, by adaptive scan of column blocks."""
-    n, dim = rotated.shape
+def scan(rotated: np.ndarray, query: np.ndarray, k: int, rows: np.ndarray | None = None, confidence: float = CONFIDENCE) -> np.ndarray:
+    """Those of the rows given, or of all, that may be among their k nearest, by adaptive scan of column blocks."""
+    rows = np.arange(len(rotated)) if rows is None else rows
+    n, dim = len(rows), rotated.shape[1]
     kept: list[np.ndarray] = []
     best = np.full(k, np.inf)
-    best[-1] = min(best[-1], threshold)
     for a in range(0, n, 512):
-        live = np.arange(a, min(n, a + 512))
+        live = rows[a : a + 512]
         partial = np.zeros(len(live))
         for d in range(0, dim, COLUMNS):
             e = min(dim, d + COLUMNS)
@@ -131,13 +134,15 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = LISTS) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k nearest found of each query, among all rows of another id.
 
-    vectors and queries: (id, vector). Queries and candidates meet list by list; the best k of each meeting are merged.
+    vectors and queries: (id, vector). Queries and candidates meet list by list; the best k of each meeting are merged. Rows of
+    queries that share an id are one query, that of their least vector.
     """
     vectors = vectors.where(F.col("id").isNotNull() & usable(F.col("vector")))
     sizes = vectors.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     dim = sizes[0][0] if sizes else 1
     vectors = vectors.where(F.size("vector") == dim)
     queries = queries.where(F.col("id").isNotNull() & usable(F.col("vector")) & (F.size("vector") == dim))
+    queries = queries.groupBy("id").agg(F.min("vector").alias("vector"))
     index = fit(vectors, lists)
     shared = vectors.sparkSession.sparkContext.broadcast(index)  # at most LISTS centroids
 
@@ -161,13 +166,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = LIS
             x = _matrix(batch.column(1))
             order = np.argsort((centroids**2).sum(1) - 2 * x @ centroids.T, axis=1, kind="stable")
             met = np.cumsum(filled[order], axis=1)
-            take = np.maximum(least, (met < k + 1).sum(1) + 1)
+            take = np.maximum(least, (met < enough).sum(1) + 1)
             row = np.repeat(np.arange(len(x)), np.minimum(take, order.shape[1]))
             chosen = np.concatenate([o[:t] for o, t in zip(order, take, strict=True)])
             live = filled[chosen] > 0
             at = pa.array(row[live])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(chosen[live].astype(np.int32))], names=["id", "vector", "list"])
 
+    own = vectors.join(queries.select("id"), "id", "left_semi").groupBy("id").count().agg(F.max("count")).first()[0] or 0
+    enough = k + own  # rows that hold k candidates, whatever rows the query's id has
+
     asked = queries.select(F.col("id").cast("long"), F.col("vector").cast("array<double>")).mapInArrow(lean(probe), schema)
     asking = {r[0]: r[1] for r in asked.groupBy("list").count().collect()}
     table = lambda counts, size: F.coalesce(F.get(F.array(*(F.lit(int(max(1, -(-counts.get(i, 0) // size)))) for i in range(len(filled)))), F.col("list")), F.lit(1))
@@ -183,8 +191,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = LIS
             rotated = x @ shared.value.rotation
             query_ids, q = wanted["id"].to_numpy(), _matrix(wanted["vector"])
             for qid, own, turned in zip(query_ids, q, q @ shared.value.rotation, strict=True):
-                at = scan(rotated, turned, k + 1)
-                at = at[ids[at] != qid]
+                at = scan(rotated, turned, k, np.flatnonzero(ids != qid))
                 score = np.sqrt(((x[at] - own) ** 2).sum(1))
                 first = np.lexsort((ids[at], score))[:k]
                 out[0].append(np.full(len(first), qid))
