@@ -5,16 +5,16 @@ hexadecimal digits. Fingerprints of parts merge into that of the whole (`merge`)
 containment and the number of distinct shingles.
 
 Edge cases: a null or empty text, or one of white space, has the fingerprint "" of the empty set; the resemblance of two
-empty sets is 1, of an empty and another set 0. Rows without doc_id are left out where documents are put in order. A text of one to four words is one shingle. Equal texts, repeated rows
+empty sets is 1, of an empty and another set 0. A text of one to four words is one shingle. Equal texts, repeated rows
 included, have equal fingerprints; long texts are read whole.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,8 @@ from quillveil.llm.text import pieces, shingles, text_buffer
 from quillveil.llm.workers import lean
 
 K = 128
+#: Where rows without doc_id stand among the ids.
+_NO_ID = -(1 << 63)
 
 
 def bottom(hashes: np.ndarray, k: int = K) -> np.ndarray:
@@ -86,47 +88,48 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
     return min(1.0, shared / distinct(a, k))
 
 
-def _rank(cuts: list[int]):
-    """How many cuts are at most doc_id, in two steps of about sqrt(len(cuts)) comparisons."""
-    step = math.isqrt(len(cuts)) + 1
-    array = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
-    below = lambda bounds: F.size(F.filter(bounds, lambda b: b <= F.col("doc_id")))
-    coarse = below(array(cuts[step - 1 :: step])) * step
-    return coarse + below(F.slice(array(cuts), coarse + 1, step))
-
-
 def with_next(df: DataFrame, blocks: int) -> DataFrame:
-    """Rows (part, doc_id, text, own): each part holds a range of ids in order and, as its last row, the row that follows it.
+    """Rows (part, doc_id, text, own): each part holds a range of ids in order and, last, the rows of the id that follows it.
 
-    The ranges come from approximate quantiles; what goes to the driver is one id per range.
+    The ranges come from approximate quantiles; what goes to the driver, and to each task, is two numbers for each range.
     """
-    rows = df.select(F.col("doc_id").cast("long"), F.col("text")).where("doc_id is not null")
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 10 * blocks)).first()[0] or []
-    cuts = sorted(set(cuts))
-    part = F.lit(0)
-    if cuts:
-        part = _rank(cuts)
-    rows = rows.withColumn("part", part)
-    firsts = {r[0]: r[1] for r in rows.groupBy("part").agg(F.min("doc_id")).collect()}
-    order = sorted(firsts)
-    if not order:
-        return rows.withColumn("own", F.lit(True))
-    before = {firsts[p]: order[i - 1] for i, p in enumerate(order)}  # of the smallest id, the last part
-    lookup = F.create_map(*(x for i, p in before.items() for x in (F.lit(i).cast("long"), F.lit(p))))
-    copies = F.array(F.struct(F.col("part").alias("part"), F.lit(True).alias("own")), F.struct(lookup[F.col("doc_id")].alias("part"), F.lit(False).alias("own")))
-    return rows.select("doc_id", "text", F.explode(F.filter(copies, lambda c: c["part"].isNotNull())).alias("c")).select("c.part", "doc_id", "text", "c.own")
-
-
-def compare_edited(df: DataFrame, k: int = K, bytes_per_part: int = 4 << 20) -> DataFrame:
+    rows = df.select(F.col("doc_id").cast("long"), F.col("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("key"))
+    cuts = rows.agg(F.percentile_approx("key", [i / blocks for i in range(1, blocks)], 10 * blocks)).first()[0] or []
+    shared = np.unique(np.array(cuts, np.int64))
+    cut = df.sparkSession.sparkContext.broadcast(shared)
+
+    @F.pandas_udf("long")
+    def part_of(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cut.value, key.to_numpy(), "right"))
+
+    held = rows.select("key", part_of("key").alias("part")).groupBy("part").agg(F.min("key").alias("first")).toArrow()
+    order = np.argsort(held["part"].to_numpy(), kind="stable")
+    parts, firsts = held["part"].to_numpy()[order], held["first"].to_numpy()[order]
+    ranges = df.sparkSession.sparkContext.broadcast((parts, firsts))
+
+    @F.pandas_udf("array<long>")
+    def parts_of(key: pd.Series) -> pd.Series:
+        """The row's part; and if its id opens it, the part before (of the smallest id, the last)."""
+        numbers, opening = ranges.value
+        own = np.searchsorted(cut.value, key.to_numpy(), "right")
+        at = np.searchsorted(numbers, own)
+        before = numbers[at - 1]
+        opens = opening[at] == key.to_numpy()
+        return pd.Series([[a, b] if o else [a] for a, b, o in zip(own.tolist(), before.tolist(), opens.tolist(), strict=True)], dtype=object)
+
+    return rows.select("doc_id", "text", "key", F.posexplode(parts_of("key")).alias("i", "part")).select("part", "doc_id", "text", (F.col("i") == 0).alias("own"), "key")
+
+
+def compare_edited(df: DataFrame, k: int = K, bytes_per_part: int = 256 << 20) -> DataFrame:
     """Fingerprint each text and its edited text, whose last floor(n / 2) code points are the first ones of the next document.
 
-    Next is by ascending doc_id; the last document is followed by the first. Rows with one id are ordered by text. Texts are
-    dealt once, by ranges of ids of bounded number.
+    Next is by ascending doc_id; the last document is followed by the first. Rows with one id are ordered by text, rows without
+    an id come first. Texts are dealt once, by ranges of ids, 24 at least.
     """
     total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(min(2000, max(24, total // bytes_per_part)))
+    blocks = int(max(24, total // bytes_per_part))
     dealt = with_next(df, blocks)
-    ordered = dealt.repartition(blocks, "part").sortWithinPartitions("part", F.desc("own"), "doc_id", "text")
+    ordered = dealt.repartition(blocks, "part").sortWithinPartitions("part", F.desc("own"), "key", "text").drop("key")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def compare(ids: list[int], texts: list[str], sketches: list[np.ndarray], n: int):
