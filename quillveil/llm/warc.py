@@ -5,7 +5,7 @@ date, content type and length; those of version 2 have URL, IP, date, content ty
 file name and length. The declared length, in bytes, bounds each payload, whatever it holds. Fields are counted from the
 right, so blanks in a URL do no harm.
 
-The WARC record of each ARC record gets an identifier made of its URL, date and digest, the date in ISO form, the type
+The WARC record of each ARC record gets an identifier (made of URL, date and digest if others refer to it, else random), the date in ISO form, the type
 (`response` or `revisit`) and the bare hexadecimal SHA-1 of the payload. A revisit has no block; its header states the digest
 and length of the payload and the identifier of the record that holds it.
 
@@ -13,8 +13,8 @@ Archives are written as a table of parts in the folder that all executors share
 of whole records, and read back from there.
 
 Edge cases: a null payload is empty; a null URL or page_id is an empty field; an empty table gives an archive of no record;
-repeated rows are records of their own, and among equal page_ids one digest still has one response, the first by URL and
-payload. A record cut short raises ValueError with its offset.
+repeated rows are records of their own with identifiers of their own, and of a digest's rows one is the response, with the
+largest page_id, then URL. A record cut short raises ValueError with its offset.
 """
 
 from __future__ import annotations
@@ -23,23 +23,30 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillveil.llm.store import shared_folder
+from quillveil.llm.store import scratch, shared_folder, stored
 from quillveil.llm.workers import lean
 
 #: Payloads below this many bytes are never replaced by a revisit.
 LEAST = 1000
+#: Digests that occur more than once are broadcast up to this many (about 60 MB), beyond it joined in so many parts.
+FEW, SALTS = 300_000, 32
 #: Crawl date of rows that have none.
 DATE = "19960101000000"
 _FIELDS = {1: ("ip", "date", "type", "length"), 2: ("ip", "date", "type", "code", "checksum", "location", "offset", "file", "length")}
 
 
+_ROLES = pa.list_(pa.struct([("holder", pa.bool_()), ("refers_to", pa.string())]))
+
+
 class ArcRecord(NamedTuple):
     url: str
     ip: str
@@ -91,16 +98,21 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
 
 
 def record_id(url: str, date: str, digest: str) -> str:
+    """The identifier of the one record that holds a payload to which others refer."""
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{date} {digest} {url}')}>"
 
 
-def to_warc(record: ArcRecord, refers_to: str | None = None) -> bytes:
-    """A WARC record; `refers_to`, the URL of the record that holds an equal payload, makes it a revisit."""
+def to_warc(record: ArcRecord, refers_to: str | None = None, holder: bool = False) -> bytes:
+    """A WARC record; `refers_to`, the URL of the record that holds an equal payload, makes it a revisit.
+
+    A holder's identifier follows from its fields, so that revisits can name it; any other is drawn at random: repeated records
+    have identifiers of their own.
+    """
     digest, d = hashlib.sha1(record.payload).hexdigest(), record.date.ljust(14, "0")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(record.url, record.date, digest)}",
+        f"WARC-Record-ID: {record_id(record.url, record.date, digest) if holder else f'<urn:uuid:{uuid.uuid4()}>'}",
         f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
         f"WARC-Target-URI: {record.url}",
         f"WARC-IP-Address: {record.ip}",
@@ -139,51 +151,86 @@ def page_url(page_id: int | None, url: str | None) -> str:
 
 
 def decide(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """pages with `refers_to` and `refers_url`: of the record of an equal payload with the largest page_id, if not itself.
+    """Rows page_id, url, html, holder (whether others may refer to it), refers_to and refers_url.
 
-    Only payload digests that occur more than once are joined back; a digest with a third of all rows is one row of them.
+    Of equal payloads of `least` bytes the row with the largest page_id, then URL, holds the payload; the others refer to it.
+    Only digests that occur more than once are looked up: a row for each is broadcast up to `FEW`, else joined in `SALTS`
+    parts, for one payload may hold a third of all rows; rows without such a digest are no part of that join.
     """
     body = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     rows = pages.select("page_id", "url", "html").withColumn("_sha", F.when(F.length(body) >= least, F.sha1(body)))
     order = F.struct(F.col("page_id").alias("p"), F.coalesce("url", F.lit("")).alias("u"))
-    kept = rows.where("_sha is not null").groupBy("_sha").agg(F.max(order).alias("_kept"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    joined = rows.join(kept, "_sha", "left")
-    other = F.col("_kept").isNotNull() & (F.coalesce(F.col("_kept.p") != F.col("page_id"), F.lit(True)) | (F.col("_kept.u") != F.coalesce("url", F.lit(""))))
-    return joined.select("page_id", "url", "html", F.when(other, F.col("_kept.p")).alias("refers_to"), F.when(other, F.col("_kept.u")).alias("refers_url"), F.when(other, True).alias("revisit"))
-
-
-def convert(pages: DataFrame, archive_bytes: int = 8 << 20, version: int = 2) -> DataFrame:
-    """Write each page as a record of an ARC file and convert those files: rows (archive binary) of whole WARC files."""
+    narrow = rows.where("_sha is not null").groupBy("_sha", order.alias("o")).agg(F.count("*").alias("m"))
+    kept = narrow.groupBy("_sha").agg(F.max("o").alias("_kept"), F.sum("m").alias("_n"), F.max_by("m", "o").alias("_same")).where("_n > 1").drop("_n")
+    kept = stored(kept)
+    if kept.count() <= FEW:
+        joined = rows.join(F.broadcast(kept), "_sha", "left")
+    else:
+        parts = kept.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        some = rows.where("_sha is not null").withColumn("_part", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        joined = some.join(parts, ["_sha", "_part"], "left").drop("_part")
+        joined = joined.unionByName(rows.where("_sha is null"), allowMissingColumns=True)
+    joined = joined.withColumn("_best", F.col("_kept").isNotNull() & F.col("_kept.p").eqNullSafe(F.col("page_id")) & (F.col("_kept.u") == F.coalesce("url", F.lit(""))))
+    if kept.where("_same > 1").limit(1).count():  # of repeated rows one holds the payload
+        again = joined.where("_best and _same > 1")
+        first = F.row_number().over(W.partitionBy("_sha").orderBy("page_id")) == 1
+        joined = joined.where("not (_best and _same > 1)").unionByName(again.withColumn("_best", first))
+    other = F.col("_kept").isNotNull() & ~F.col("_best")
+    return joined.select("page_id", "url", "html", F.col("_best").alias("holder"), F.when(other, F.col("_kept.p")).alias("refers_to"), F.when(other, F.col("_kept.u")).alias("refers_url"), other.alias("revisit"))
+
+
+ROLES = "array<struct<holder:boolean,refers_to:string>>"
+
+
+def to_arc(pages: DataFrame, archive_bytes: int = 8 << 20) -> DataFrame:
+    """Pages as ARC files, of version 1 and 2 by turns: rows (archive, roles), what `decide` says of each record in order."""
 
     def run(batches):
-        def emit(rows):
+        def emit(version, rows):
             arc = arc_header(version, "pages.arc") + b"".join(arc_record(version, u, p) for u, p, _ in rows)
-            out = b"".join(to_warc(r, refers) for r, (_, _, refers) in zip(read_arc(arc), rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], names=["archive"])
+            return pa.RecordBatch.from_arrays([pa.array([arc], pa.binary()), pa.array([[r for *_, r in rows]], _ROLES)], names=["archive", "roles"])
 
-        rows, size = [], 0
+        rows, size, made = [], 0, 0
         for batch in batches:
-            for page_id, url, html, refers_to, refers_url, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, html, holder, refers_to, refers_url, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 payload = (html or "").encode()
-                rows.append((page_url(page_id, url), payload, page_url(refers_to, refers_url) if revisit else None))
+                rows.append((page_url(page_id, url), payload, {"holder": holder, "refers_to": page_url(refers_to, refers_url) if revisit else None}))
                 size += len(payload)
                 if size >= archive_bytes:
-                    yield emit(rows)
-                    rows, size = [], 0
+                    yield emit(1 + made % 2, rows)
+                    rows, size, made = [], 0, made + 1
         if rows:
-            yield emit(rows)
+            yield emit(1 + made % 2, rows)
+
+    return pages.select("page_id", "url", "html", "holder", "refers_to", "refers_url", "revisit").mapInArrow(lean(run), f"archive binary, roles {ROLES}")
+
+
+def convert(archives: DataFrame) -> DataFrame:
+    """ARC files (archive, and roles, if there is such a column) to WARC files: rows (archive binary), one for each.
+
+    Without roles every record is a response.
+    """
+    known = "roles" in archives.columns
+
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                roles = batch.column(1)[i].as_py() if known else repeat({"holder": False, "refers_to": None})
+                out = b"".join(to_warc(r, x["refers_to"], x["holder"]) for r, x in zip(read_arc(batch.column(0)[i].as_py()), roles, strict=known))
+                yield pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], names=["archive"])
 
-    return pages.select("page_id", "url", "html", "refers_to", "refers_url", "revisit").mapInArrow(lean(run), "archive binary")
+    return archives.select("archive", *(["roles"] if known else [])).mapInArrow(lean(run), "archive binary")
 
 
 def write_archives(spark: SparkSession, pages: DataFrame) -> str:
     """Write the archives of `pages` into the shared folder; the path of their table."""
     path = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
-    convert(decide(pages)).write.option("compression", "zstd").parquet(path)
+    with scratch(spark):
+        convert(to_arc(decide(pages))).write.option("compression", "zstd").parquet(path)
     return path
 
 
-_PAGE = re.compile(r"#page=(-?\d+)$")
+_PAGE = re.compile(r"#page=(-?\d*)$")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -192,7 +239,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
     def run(batches):
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "date"]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-        page = lambda uri: int(m[1]) if (m := _PAGE.search(uri)) else None
+        page = lambda uri: int(m[1]) if (m := _PAGE.search(uri)) and m[1] else None
         for batch in batches:
             for data in batch.column(0):
                 rows = []
