@@ -8,18 +8,18 @@ language is taken. The language with the largest proportion is the prediction, i
 Learning reads a sample of about `SAMPLE` documents of each language, chosen by hash of doc_id; prediction reads all texts
 whole.
 
-Edge cases: a null text, or one without a letter, is `und` with score 0; rows without a language teach nothing; without any
+Edge cases: a null text, or one without a letter (Unicode category L; numerals and signs are none), is `und` with score 0; rows without a language teach nothing; without any
 labelled row every prediction is `und`; repeated rows are predicted alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +31,9 @@ from quillveil.llm.workers import lean
 SAMPLE = 4000
 BITS = 16
 WINDOW = 32
-_LETTER = re.compile(r"[^\W\d_]")
+#: Windows whose grams' likelihoods are gathered at once.
+GATHERED = 1 << 14
+_LETTER = regex.compile(r"\p{L}")
 _PLAIN = np.where((np.arange(256) >= 128) | ((np.arange(256) >= 97) & (np.arange(256) <= 122)), np.arange(256), 32).astype(np.uint32)
 
 
@@ -119,6 +121,16 @@ def infer(windows: np.ndarray, first: np.ndarray, penalty: float = 3.0) -> tuple
     return best, best > 0
 
 
+def _windows(table: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the grams' rows of `table` over each window; of a long text, some windows at a time."""
+    out = np.empty((len(starts), table.shape[1]))
+    for a in range(0, len(starts), GATHERED):
+        first = starts[a : a + GATHERED]
+        end = starts[a + GATHERED] if a + GATHERED < len(starts) else len(codes)
+        out[a : a + GATHERED] = np.add.reduceat(table[codes[first[0] : end]], first - first[0], axis=0)
+    return out
+
+
 def predict(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """documents with columns lang_pred, score and languages (the chosen set with proportions, most first)."""
     names = [c for c in documents.columns if c not in ("lang_pred", "score", "languages")]
@@ -138,7 +150,7 @@ def predict(documents: DataFrame, model: Model, text: str = "text") -> DataFrame
                     per = -(-np.diff(own) // WINDOW)
                     first = np.concatenate(([0], np.cumsum(per)))
                     starts = np.repeat(own[:-1] - WINDOW * first[:-1], per) + WINDOW * np.arange(first[-1])
-                    windows = np.add.reduceat(table[grams(part)], starts, axis=0).astype(np.float64)
+                    windows = _windows(table, grams(part), starts)
                     shares, chosen = infer(windows, first)
                     for i, row, held in zip(at[a:b], shares, chosen, strict=True):
                         order = np.argsort(-row, kind="stable")[: int(held.sum())]
