@@ -12,7 +12,7 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """Rows (node, label) for every node of the edges (u, v): the smallest node that links lead to.
 
     Each round a node takes the smallest label among its own and its neighbours', then that node's label. Tables are written
-    in the shared folder each round; only the number of changes goes to the driver.
+    in the shared folder each round; only whether any label changed goes to the driver.
     """
     both = stored(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
     labels = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).select(F.col("u").alias("node"), "label"))

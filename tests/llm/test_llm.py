@@ -87,6 +87,23 @@ def test_op1_large_regions_equal_brute_force(spark, monkeypatch):
     assert got == dict(enumerate(brute_components(texts)))
 
 
+def test_op1_repeated_rows_reused_ids_and_long_texts(spark, monkeypatch):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    long = " ".join(f"l{i}" for i in range(9000))
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (5, long), (5, long), (6, long + " end"), (0, b + " more"), (9, "x" * 60_000), (8, "a " * 30_000), (7, None), (7, "")]
+    ids, texts = [r[0] for r in rows], [r[1] for r in rows]
+    root = dict(zip(ids, ids))
+    for _ in rows:  # rows of one doc_id are one document
+        for i, c in zip(range(len(rows)), brute_components(texts, list(range(len(rows))))):
+            low = min(root[ids[i]], root[ids[c]])
+            root[ids[i]] = root[ids[c]] = low
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, sketch string")
+    for block in (512, 2):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect())
+        assert got == sorted((i, len(shingled(t)), root[i]) for i, t in rows)
+
+
 def test_op1_empty(spark):
     assert jaccard.near_duplicates(documents(spark, [])).count() == 0
 
@@ -175,13 +192,16 @@ def test_op3_recall_ties_and_unusable_vectors(spark):
         hits += len(set(best) & {v for _, v, _ in found})
     assert hits >= 0.9 * 10 * len(got)
     assert [v for _, v, _ in got[0]] == list(range(5, 15))
+    copies = df.where("id < 40").unionByName(spark.createDataFrame([(0, x[0].tolist())] * 14 + [(7, x[7].tolist())], "id long, vector array<double>")).withColumn("list", F.lit("clash"))
+    found = ann.search(copies, copies.where("id % 100 = 0")).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id) for r in found] == list(zip(range(1, 11), [5, 6, 7, 7, 8, 9, 10, 11, 12, 13]))
     few = df.where("id in (0, 1, 2)")
     assert ann.search(few, few.where("id = 0")).count() == 2
     assert ann.search(df.where("false"), df.where("false")).count() == 0
 
 
 def test_op4_against_sets(spark):
-    texts = [t for t in ODD if t is None or len(t) < 40_000] + near_texts(np.random.default_rng(10), groups=5)
+    texts = ODD + near_texts(np.random.default_rng(10), groups=5)
     rows = {r.doc_id: r for r in fingerprint.compare_edited(documents(spark, texts)).collect()}
     plain = [t or "" for t in texts]
     close = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
@@ -194,6 +214,11 @@ def test_op4_against_sets(spark):
     assert fingerprint.compare_edited(documents(spark, [])).count() == 0
     one = fingerprint.compare_edited(documents(spark, ["a b c"])).first()
     assert one.near_next == 1.0
+    rows = [(2, "c c"), (None, "a b"), (1, "b b"), (2, "c c"), (1, "b a")]
+    again = fingerprint.compare_edited(spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit("clash"))).collect()
+    order = [(None, "a b"), (1, "b a"), (1, "b b"), (2, "c c"), (2, "c c")]
+    edited = [t[: len(t) - len(t) // 2] + order[(i + 1) % 5][1][: len(t) // 2] for i, (_, t) in enumerate(order)]
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in again) == sorted((str(i), hashlib.sha256(e.encode()).hexdigest()) for (i, _), e in zip(order, edited))
 
 
 def test_sketches_merge_and_estimate():
@@ -219,6 +244,23 @@ def test_op5_round_trip(spark):
     assert warc.read_archives(spark.read.parquet(warc.write_archives(spark, rows.where("false")))).count() == 0
 
 
+@pytest.mark.parametrize("few", [warc.FEW, 0])
+def test_op5_repeated_rows_have_one_response_and_identifiers_of_their_own(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "FEW", few)
+    big, other = "b" * 1500, "c" * 1500
+    rows = [(3, "u", big), (3, "u", big), (3, "t", big), (1, "u", big), (None, "u", big), (4, "v", "s"), (4, "v", "s"), (None, None, other), (None, None, other), (9, "w", other + "d")]
+    got = warc.read_archives(spark.read.parquet(warc.write_archives(spark, spark.createDataFrame(rows, "page_id long, url string, html string")))).collect()
+    assert len({r.record_id for r in got}) == len(rows)
+    assert sorted((r.page_id or 0, r.url, r.record_type, r.refers_to or 0) for r in got) == sorted([(3, "u", "response", 0), (3, "u", "revisit", 3), (3, "t", "revisit", 3), (1, "u", "revisit", 3), (0, "u", "revisit", 3), (4, "v", "response", 0), (4, "v", "response", 0), (0, "", "response", 0), (0, "", "revisit", 0), (9, "w", "response", 0)])
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_archives_from_elsewhere_are_converted(spark, version):
+    data = warc.arc_header(version, "x.arc") + warc.arc_record(version, "http://a/", b"one") + warc.arc_record(version, "http://b/", b"one", date="20010203040506")
+    rows = warc.read_archives(warc.convert(spark.createDataFrame([(bytearray(data),)], "archive binary"))).collect()
+    assert [(r.url, r.payload_bytes, r.record_type, r.date[:10]) for r in rows] == [("http://a/", 3, "response", "1996-01-01"), ("http://b/", 3, "response", "2001-02-03")]
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions_and_broken_files(version):
     data = warc.arc_header(version, "x.arc") + warc.arc_record(version, "http://a b/c", b"line\n\nline") + warc.arc_record(version, "http://d/", b"")
@@ -310,6 +352,7 @@ def test_op8_held_out_accuracy_and_mixtures(spark):
     en, de = (next(r.text for r in rows if r.lang == x and len(r.text) > 1500)[:1000] for x in ("en", "de"))
     mixed = language.predict(documents(spark, [en + " " + de, *ODD, "123 456"]), model).orderBy("doc_id").collect()
     assert {x.split(":")[0] for x in mixed[0].languages.split(",")} == {"en", "de"}
+    assert {r.lang_pred for r in language.predict(documents(spark, ["½ ² Ⅷ", "٣ 4", "_ - ̈", "\u3007"]), model).collect()} == {"und"}
     assert [r.lang_pred for r in mixed[1:4]] == ["und"] * 3 and mixed[-1].lang_pred == "und" and mixed[-1].score == 0
     none = language.train(df.where("false"))
     assert language.predict(documents(spark, ["abc"]), none).first().lang_pred == "und"
