@@ -14,6 +14,7 @@ from quillveil.operators import evaluate, images
 from quillveil.operators.detect import coalesce_runs, counts, detect, exploded, redact, write_runs
 from quillveil.policy import Policy
 from quillveil.sources import protocol
+from quillveil.sources.tables import read, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -38,8 +39,13 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+#: Tables whose rows take much work each; the others are grouped anyhow.
+_SPREAD = ("documents", "orders", "customer", "conversations")
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = read(spark, folder, name)
+    return spread(rows) if name in _SPREAD else rows
 
 
 #: A text for each order, in SQL that both engines read: personal data of every category, and look-alikes without it.
@@ -129,7 +135,7 @@ def context_window(spark: SparkSession, folder: str) -> DataFrame:
 # Addresses: three lines an order, so that blocks form, bridge and fail.
 _LETTERS = """
 SELECT o_orderkey AS row_id, CASE o_orderkey % 4 WHEN 0 THEN 'Registered Office:' WHEN 1 THEN 'Dear all' ELSE 'Corporate Office' END || chr(10) ||
- CASE o_orderkey % 3 WHEN 0 THEN cast(o_orderkey % 99 AS string) || ' Mueller Road, Camp' WHEN 1 THEN 'Acme Labs, first line' ELSE 'The meeting went on for hours without an end in sight' END || chr(10) ||
+ CASE o_orderkey % 3 WHEN 0 THEN cast(o_orderkey % 99 AS string) || ' Quarry Road, Camp' WHEN 1 THEN 'Acme Labs, first line' ELSE 'The meeting went on for hours without an end in sight' END || chr(10) ||
  CASE o_orderkey % 5 WHEN 0 THEN 'Order No. 411045 processed' WHEN 1 THEN 'Plot No ' || cast(o_orderkey % 50 AS string) || ', Sector 14' WHEN 2 THEN 'Pune 411045, near Lane 3' ELSE 'Thank you' END AS text FROM orders"""
 _RE2 = {k: v.replace("(?U)", "").replace("(?iU)", "(?i)").replace("\\u00a0", "").replace("'", "''") for k, v in {"label": address.LABEL, "pin": address.PINCODE, "street": address.STREET, "building": address.BUILDING, "number": address.NUMBER, "date": address.DATE, "amount": address.AMOUNT, "page": address.PAGE, "ordered": address.ORDER}.items()}
 _FEATURES = f"""
@@ -221,6 +227,32 @@ def redaction_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts(detect(_table(spark, folder, "documents")))
 
 
+def _kinds_sql(*parts: tuple[str, str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT row_id, '{c}' AS category FROM ({_spans_sql(CORPUS, 'row_id', p, w)})" for c, p, w in parts)
+
+
+@_query(
+    "SELECT row_id % 16 AS template, category, count(*) AS n FROM ("
+    + _kinds_sql(
+        ("email", patterns.EMAIL, "true"),
+        ("pan", patterns.PAN, "true"),
+        ("ssn", patterns.SSN, "true"),
+        ("ip", patterns.IP, "true"),
+        ("phone", "\\b9[0-9]{9}\\b", f"NOT {_near_sql(patterns.NOT_PHONE)}"),
+        ("credit_card", patterns.CARD, _LUHN),
+        ("aadhaar", patterns.AADHAAR, _near_sql(patterns.NEEDS_AADHAAR)),
+        ("passport", patterns.PASSPORT, _near_sql(patterns.NEEDS_PASSPORT)),
+        ("dob", patterns.DOB, _near_sql(patterns.NEEDS_DOB)),
+        ("address", "Registered Office: Plot [0-9]+, [A-Za-z ]+ Road, [A-Za-z]+ [0-9]{6}", "true"),
+        ("name", "Director: [A-Z][a-z]+ [A-Z][a-z]+", "true"),
+    )
+    + ") GROUP BY ALL"
+)
+def redaction_by_template(spark: SparkSession, folder: str) -> DataFrame:
+    """All detectors but entities at once, claimed against each other, over the texts of every template."""
+    return counts(detect(corpus(spark, folder), found=None), "template")
+
+
 _THREE = Policy.only("email", "ip", "credit_card")
 
 
@@ -346,9 +378,42 @@ def part_union(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@_query("SELECT DISTINCT conv_id, role FROM conversations")
+@_query("SELECT conv_id, turn, role FROM conversations WHERE regexp_matches(role, '[^\\s]')")
 def header_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, folder, "conversations").select("conv_id", "role").dropDuplicates(["conv_id", "role"])
+    """Headers of packages whose two sections share one."""
+    return _parts(spark, folder).where("location like 'header%'").select("conv_id", "turn", F.col("text").alias("role"))
+
+
+@_query(
+    """WITH b AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations), l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM b),
+p AS (SELECT conv_id, turn, 0 AS part_ord, 'body:para' || i AS location, t AS text FROM l
+ UNION ALL SELECT conv_id, turn, 1, 'table0:row0:cell0:para0', 'cell ' || conv_id FROM b UNION ALL SELECT conv_id, turn, 1, 'table0:row0:cell0:nested_table0:row0:cell0:para1', 'inner ' || turn FROM b
+ UNION ALL SELECT conv_id, turn, 2, 'header0:para0', role FROM b)
+SELECT conv_id, turn, part_ord, location, text FROM p WHERE regexp_matches(text, '[^\\s]')"""
+)
+def docx_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Paragraphs of packages: body, table, nested table after a blank paragraph, shared header."""
+    return _parts(spark, folder)
+
+
+def _parts(spark: SparkSession, folder: str) -> DataFrame:
+    import pyarrow as pa
+
+    from quillveil.sources import docx
+
+    cell = lambda *inner: f"<w:tbl><w:tr><w:tc>{''.join(inner)}</w:tc></w:tr></w:tbl>"
+    one = lambda text: f"<w:p><w:r><w:t>{text}</w:t></w:r></w:p>"
+
+    def pack(batches):
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            made = [docx.package([[x] for x in (text or "").split("\n")], body=cell(one(f"cell {c}"), cell(one(" "), one(f"inner {t}"))), header=[role]) for c, t, role, text in rows]
+            path = [f"{c}-{t}" for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(made, pa.binary())], names=["path", "content"])
+
+    files = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").mapInArrow(pack, "path string, content binary")
+    key = lambda i: F.get(F.split("path", "-"), F.lit(i))
+    return docx.paragraphs(files).select(key(0).cast("long").alias("conv_id"), key(1).cast("int").alias("turn"), "part_ord", "location", F.array_join("runs", "").alias("text"))
 
 
 _UPLOADS = "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'a.DOCX' WHEN 1 THEN 'b.docx' ELSE 'c.txt' END AS path, o_orderkey % 5 * 5000000 AS length FROM orders"
@@ -410,12 +475,27 @@ def signature_above(spark: SparkSession, folder: str) -> DataFrame:
     return _field_rows(spark, folder, "pan", "signature")
 
 
-@_query()
+_FIRST = """, f AS (SELECT *, first_value(top) OVER (PARTITION BY image_id, anchor ORDER BY left_x, top, ord) AS first_top FROM n),
+g AS (SELECT image_id, anchor, first_top, min(left_x) AS x1, min(top) AS y1, max(left_x + width) AS x2, max(top + height) AS y2 FROM f GROUP BY image_id, anchor, first_top),
+b AS (SELECT image_id, anchor, lead(x1) OVER w AS x1, lead(y1) OVER w AS y1, lead(x2) OVER w AS x2, lead(y2) OVER w AS y2 FROM g WINDOW w AS (PARTITION BY image_id ORDER BY first_top, anchor))"""
+
+
+@_query(
+    _LINES
+    + _FIRST
+    + """, l AS (SELECT image_id, anchor, min(left_x) AS x FROM n WHERE text = 'Name:' GROUP BY image_id, anchor),
+r AS (SELECT image_id, anchor, min(left_x) AS x1, min(top) AS y1, max(left_x + width) AS x2, max(top + height) AS y2 FROM l JOIN n USING (image_id, anchor) WHERE left_x > x GROUP BY image_id, anchor)
+SELECT image_id, coalesce(r.x1, b.x1) AS x1, coalesce(r.y1, b.y1) AS y1, coalesce(r.x2, b.x2) AS x2, coalesce(r.y2, b.y2) AS y2 FROM l JOIN b USING (image_id, anchor) LEFT JOIN r USING (image_id, anchor) WHERE coalesce(r.x1, b.x1) IS NOT NULL"""
+)
 def label_value(spark: SparkSession, folder: str) -> DataFrame:
     return _field_rows(spark, folder, "pan", "name")
 
 
-@_query()
+@_query(
+    _LINES
+    + """, l AS (SELECT image_id, anchor, first(left_x ORDER BY left_x, top, ord) AS x, first(top ORDER BY left_x, top, ord) AS y FROM n WHERE text = 'Address' GROUP BY image_id, anchor)
+SELECT image_id, min(left_x) AS x1, min(top) AS y1, max(left_x + width) AS x2, max(top + height) AS y2 FROM l JOIN n USING (image_id) WHERE top BETWEEN y - 15 AND y + 130 AND left_x >= x - 30 GROUP BY image_id, l.anchor"""
+)
 def address_region(spark: SparkSession, folder: str) -> DataFrame:
     return _field_rows(spark, folder, "aadhaar", "address")
 
@@ -469,7 +549,17 @@ def box_clip(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", F.explode(layout.clipped(F.col("b"), F.lit(70), F.lit(50))).alias("c")).select("l_orderkey", "l_linenumber", "c.*")
 
 
-@_query()
+_SHARED = "greatest(0, least(o.x2, b.x2) - greatest(o.x1, b.x1)) * greatest(0, least(o.y2, b.y2) - greatest(o.y1, b.y1))"
+
+
+@_query(
+    f"""WITH RECURSIVE w AS (SELECT l_orderkey, l_linenumber, ({_X1})::INT AS x1, ({_Y1})::INT AS y1, ({_X1} + 30)::INT AS x2, ({_Y1} + 20)::INT AS y2 FROM lineitem),
+c AS (SELECT l_orderkey, list({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY l_linenumber, x1, y1) AS bs FROM w GROUP BY l_orderkey),
+r AS (SELECT l_orderkey, bs, 1 AS i, bs[1:1] AS kept FROM c UNION ALL
+ SELECT l_orderkey, bs, i + 1, CASE WHEN hit IS NULL OR hit = 0 THEN list_append(kept, b) ELSE list_transform(kept, lambda o, j: CASE WHEN j = hit THEN {{'x1': least(o.x1, b.x1), 'y1': least(o.y1, b.y1), 'x2': greatest(o.x2, b.x2), 'y2': greatest(o.y2, b.y2)}} ELSE o END) END
+ FROM (SELECT *, list_position(list_transform(kept, lambda o: {_SHARED} > 0.4 * least((o.x2 - o.x1) * (o.y2 - o.y1), (b.x2 - b.x1) * (b.y2 - b.y1))), true) AS hit FROM (SELECT *, bs[i + 1] AS b FROM r WHERE i < len(bs))))
+SELECT l_orderkey, k.x1 AS x1, k.y1 AS y1, k.x2 AS x2, k.y2 AS y2 FROM (SELECT l_orderkey, unnest(kept) AS k FROM r WHERE i = len(bs))"""
+)
 def box_merge(spark: SparkSession, folder: str) -> DataFrame:
     x, y = F.col("l_partkey") % 80, F.col("l_suppkey") % 60
     rows = _table(spark, folder, "lineitem").select("l_orderkey", F.struct("l_linenumber", layout.box(x, y, x + 30, y + 20).alias("b")).alias("r"))
@@ -503,6 +593,13 @@ def eval_prf(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.metrics(_cases(spark, folder))
 
 
+@_query()
+def eval_run(spark: SparkSession, folder: str) -> DataFrame:
+    from quillveil.plans import evaluation
+
+    return evaluation.run(evaluation.cases(spark))
+
+
 _SCORES = "SELECT l_returnflag AS category, count(*) FILTER (WHERE l_linenumber = 1) AS tp, count(*) FILTER (WHERE l_linenumber = 2) AS fp, count(*) FILTER (WHERE l_linenumber = 3) AS fn FROM lineitem GROUP BY 1"
 
 

@@ -19,9 +19,29 @@ def none() -> Column:
     return F.array().cast(SPANS)
 
 
+#: The characters that Unicode calls white space.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
     """The text without Unicode white space at its ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def starts(sizes: Column) -> Column:
+    """The sum of the sizes before each of them.
+
+    A fold copies the array that it grows at each step, so it runs over blocks of about the square root of their number.
+    """
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, n: F.struct((acc["at"] + n).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    fold = lambda xs: F.aggregate(xs, empty, step)
+
+    def of_blocks(width: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / width).cast("int")), lambda k: fold(F.slice(sizes, k * width + 1, width)))
+        return let(blocks, lambda bs: F.flatten(F.zip_with(bs, fold(F.transform(bs, lambda b: b["at"]))["out"], lambda b, first: F.transform(b["out"], lambda x: x + first))))
+
+    return F.when(F.size(sizes) > 0, let(F.ceil(F.sqrt(F.size(sizes))).cast("int"), of_blocks)).otherwise(F.array().cast("array<int>"))
 
 
 def span(start: Column, end: Column, category: Column | str, value: Column) -> Column:
@@ -36,15 +56,10 @@ def find_all(text: Column, pattern: str, category: str = "") -> Column:
     """
 
     def walk(found: Column) -> Column:
-        pairs = F.arrays_zip(found["m"].alias("m"), F.slice(found["g"], F.lit(1), F.size(found["m"])).alias("g"))
-        start = F.struct(F.lit(0).alias("at"), none().alias("out"))
-
-        def step(acc: Column, pair: Column) -> Column:
-            a = acc["at"] + F.length(pair["g"])
-            b = a + F.length(pair["m"])
-            return F.struct(b.alias("at"), F.concat(acc["out"], F.array(span(a, b, category, pair["m"]))).alias("out"))
-
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+        gaps = F.slice(found["g"], F.lit(1), F.size(found["m"]))
+        ends = starts(F.zip_with(gaps, found["m"], lambda g, m: F.length(g) + F.length(m)))  # of the match before
+        first = F.zip_with(ends, gaps, lambda e, g: e + F.length(g))
+        return F.zip_with(first, found["m"], lambda a, m: span(a, a + F.length(m), category, m))
 
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return F.coalesce(F.when(F.regexp_like(text, F.lit(pattern)), let(F.struct(matches.alias("m"), F.split(text, pattern, -1).alias("g")), walk)), none())
@@ -62,9 +77,9 @@ def claim(candidates: Column) -> Column:
 
 def stitch(text: Column, spans: Column, value: Callable[[Column], Column]) -> Column:
     """The text with each of the sorted, disjoint spans replaced."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), value(s)).alias("out"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    before = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
+    pieces = F.zip_with(before, spans, lambda at, s: F.when(s.isNull(), F.substring(text, at + 1, F.length(text))).otherwise(F.concat(F.substring(text, at + 1, s["start"] - at), value(s))))
+    return F.array_join(pieces, "")
 
 
 def contains_any(text: Column, keywords: tuple[str, ...]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillveil.functions import address, entities, names, patterns, pseudonym
-from quillveil.functions.spans import claim, none, overlap, stitch
+from quillveil.functions.spans import claim, let, none, overlap, starts, stitch
 from quillveil.policy import Policy
 
 #: In this order; "safe" puts cards before phones, so that a phone cannot take part of a spaced card number.
@@ -52,15 +52,13 @@ def redact(df: DataFrame, text: str = "text", out: str = "redacted", **options)
 
 def coalesce_runs(runs: Column) -> Column:
     """Struct text, runs: the joined text, and the non-empty runs with their index and offsets."""
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("index"), F.array().cast("array<struct<run_index:int,start:int,end:int,text:string>>").alias("runs"))
 
-    def step(acc: Column, run: Column) -> Column:
-        run = F.coalesce(run, F.lit(""))
-        at = F.length(acc["text"])
-        one = F.struct(acc["index"].alias("run_index"), at.alias("start"), (at + F.length(run)).alias("end"), run.alias("text"))
-        return F.struct(F.concat(acc["text"], run).alias("text"), (acc["index"] + 1).alias("index"), F.when(F.length(run) > 0, F.concat(acc["runs"], F.array(one))).otherwise(acc["runs"]).alias("runs"))
+    def joined(own: Column) -> Column:
+        first = starts(F.transform(own, F.length))
+        rows = F.transform(F.zip_with(own, first, lambda r, a: F.struct(r.alias("r"), a.alias("a"))), lambda x, i: F.struct(i.alias("run_index"), x["a"].alias("start"), (x["a"] + F.length(x["r"])).alias("end"), x["r"].alias("text")))
+        return F.struct(F.array_join(own, "").alias("text"), F.filter(rows, lambda r: r["end"] > r["start"]).alias("runs"))
 
-    return F.aggregate(runs, start, step, lambda acc: F.struct(acc["text"].alias("text"), acc["runs"].alias("runs")))
+    return let(F.transform(runs, lambda r: F.coalesce(r, F.lit(""))), joined)
 
 
 def write_runs(runs: Column, spans: Column) -> Column:

@@ -22,7 +22,7 @@ def text_patches(paragraphs: DataFrame, policy: Policy, precedence: str = "compa
 
 
 def mask_images(media: DataFrame, boxes: DataFrame | None, visual: bool) -> DataFrame:
-    """Media rows (path, zip_name, content) to (path, zip_name, masked, modified, error).
+    """Media rows (path, zip_name, content, error) to (path, zip_name, masked, modified, error).
 
     boxes: (path, zip_name, boxes) of the images to mask. An image that cannot be decoded while a visual policy is on, and any
     other format than PNG with areas to mask, fails its document.
@@ -33,7 +33,12 @@ def mask_images(media: DataFrame, boxes: DataFrame | None, visual: bool) -> Data
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
             out, changed, errors = [], [], []
-            for _, _, content, areas in zip(*columns, strict=True):
+            for _, _, content, error, areas in zip(*columns, strict=True):
+                if error is not None:
+                    out.append(None)
+                    changed.append(False)
+                    errors.append(error)
+                    continue
                 wanted = [(b["x1"], b["y1"], b["x2"], b["y2"]) for b in areas or []]
                 try:
                     out.append(png.masked(content, wanted) if visual else content)
@@ -45,13 +50,13 @@ def mask_images(media: DataFrame, boxes: DataFrame | None, visual: bool) -> Data
                     errors.append(str(e))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), pa.array(changed), pa.array(errors, pa.string())], names=["path", "zip_name", "masked", "modified", "error"])
 
-    return rows.select("path", "zip_name", "content", "boxes").mapInArrow(run, "path string, zip_name string, masked binary, modified boolean, error string")
+    return rows.select("path", "zip_name", "content", "error", "boxes").mapInArrow(run, "path string, zip_name string, masked binary, modified boolean, error string")
 
 
 def redact_documents(files: DataFrame, policy: Policy = Policy(), boxes: DataFrame | None = None, precedence: str = "compat") -> DataFrame:  # noqa: B008
     """Rows (path, length, content) to path, status, message, output and the counters of SUMMARY.
 
-    A document whose package or any image cannot be read, or whose file is refused, fails: its output is null.
+    A document whose package or any image cannot be read or rewritten, or whose file is refused, fails: its output is null.
     """
     checked = docx.validated(files)
     good = checked.where("error is null")
@@ -74,15 +79,18 @@ def redact_documents(files: DataFrame, policy: Policy = Policy(), boxes: DataFra
 
     def patch(batches):
         for batch in batches:
-            out = []
-            for content, message, patches, images in zip(*(c.to_pylist() for c in batch.columns[1:5]), strict=True):
-                if message is not None:
-                    out.append(None)
-                    continue
-                runs = [(p["part"], p["para_id"], r["run_index"], r["text"]) for p in patches or [] for r in p["written"]]
-                out.append(docx.patched(content, runs, {i["zip_name"]: i["masked"] for i in images or []}))
-            status = pa.array(["failed" if m is not None else "done" for m in batch.column(2).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), status, batch.column(2), pa.array(out, pa.binary()), *batch.columns[5:]], names=["path", "status", "message", "output", *SUMMARY])
+            out, messages = [], batch.column(2).to_pylist()
+            for n, (content, patches, images) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 3, 4)), strict=True)):
+                made = None
+                if messages[n] is None:
+                    runs = [(p["part"], p["para_id"], r["run_index"], r["text"]) for p in patches or [] for r in p["written"]]
+                    try:
+                        made = docx.patched(content, runs, {i["zip_name"]: i["masked"] for i in images or []})
+                    except docx.DAMAGE as e:
+                        messages[n] = f"Could not write DOCX file: {e}"
+                out.append(made)
+            status = pa.array(["done" if m is None else "failed" for m in messages])
+            yield pa.RecordBatch.from_arrays([batch.column(0), status, pa.array(messages, pa.string()), pa.array(out, pa.binary()), *batch.columns[5:]], names=["path", "status", "message", "output", *SUMMARY])
 
     ready = joined.select("path", "content", "message", "patches", "images", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in SUMMARY))
     return ready.mapInArrow(patch, "path string, status string, message string, output binary, " + ", ".join(f"{c} long" for c in SUMMARY))

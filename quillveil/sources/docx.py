@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
@@ -22,6 +23,8 @@ CORE = "docProps/core.xml"
 PROPERTIES = ("creator", "lastModifiedBy", "description", "category", "subject", "title", "keywords", "comments")
 MOST_BYTES = 15 * 1024 * 1024
 PARAGRAPHS = "path string, part string, part_ord int, para_id int, location string, runs array<string>"
+#: What a damaged, encrypted or oddly packed file makes its readers raise.
+DAMAGE = (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, ET.ParseError, KeyError, IndexError, ValueError, OSError, RuntimeError, EOFError)
 _SPACE = "{http://www.w3.org/XML/1998/namespace}space"
 
 
@@ -98,7 +101,7 @@ def paragraphs_of(content: bytes) -> Iterator[tuple[str, int, int, str, list[str
                 raise ValueError("no body")
             parts = [(BODY, root, list(_blocks(body, "body:", "table")))]
             parts += [(part, top, list(_blocks(top, f"{kind}{s}:", "table"))) for kind, s, part in _references(package, root) for top in [ET.fromstring(package.read(part))]]
-    except (zipfile.BadZipFile, KeyError, ET.ParseError, ValueError, OSError) as e:
+    except DAMAGE as e:
         raise ValueError(f"Could not open DOCX file: {e}") from None
     for n, (part, top, rows) in enumerate(parts):
         number = {id(p): i for i, p in enumerate(top.iter(_tag("p")))}
@@ -133,18 +136,22 @@ def media_of(content: bytes) -> list[tuple[str, bytes]]:
 
 
 def media(rows: DataFrame) -> DataFrame:
-    """Rows (path, content) of packages to rows (path, zip_name, content) of their images."""
+    """Rows (path, content) of packages to rows (path, zip_name, content, error) of their images.
+
+    A package whose images cannot all be read gives one row with its error.
+    """
 
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    found = media_of(content)
-                except zipfile.BadZipFile:
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array([n for n, _ in found], pa.string()), pa.array([b for _, b in found], pa.binary())], names=["path", "zip_name", "content"])
+                    found, error = media_of(content), None
+                except DAMAGE as e:
+                    found, error = [(None, None)], f"Could not read the images: {e}"
+                columns = [pa.array([path] * len(found), pa.string()), pa.array([n for n, _ in found], pa.string()), pa.array([b for _, b in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([error] * len(found), pa.string())], names=["path", "zip_name", "content", "error"])
 
-    return rows.select("path", "content").mapInArrow(run, "path string, zip_name string, content binary")
+    return rows.select("path", "content").mapInArrow(run, "path string, zip_name string, content binary, error string")
 
 
 def _serialized(root: ET.Element, source: bytes) -> bytes:
@@ -165,10 +172,13 @@ def _set_run(run: ET.Element, text: str) -> None:
     for x in list(run):
         if x.tag in (_tag("t"), _tag("tab"), _tag("br"), _tag("cr"), _tag("noBreakHyphen")):
             run.remove(x)
-    if text:
-        t = ET.SubElement(run, _tag("t"))
-        t.text = text
-        t.set(_SPACE, "preserve")
+    for piece in re.split(r"([\t\n])", text):
+        if piece in ("\t", "\n"):
+            ET.SubElement(run, _tag("tab" if piece == "\t" else "br"))
+        elif piece:
+            t = ET.SubElement(run, _tag("t"))
+            t.text = piece
+            t.set(_SPACE, "preserve")
 
 
 def patched(content: bytes, runs: list[tuple[str, int, int, str]], images: dict[str, bytes] | None = None) -> bytes:

@@ -27,7 +27,7 @@ CASES = [
     ("This offer follows SEBI ICDR Regulations and is listed on NSE and BSE.", {}, ["company"]),
     ("For further details, see page 243 of this document.", {}, ["phone", "aadhaar", "credit_card"]),
     ("Registered Office at Plot 45, Residency Road, Pune 411001, India.", {"address": 1}, []),
-    ("Registered Office: Mueller Road, Pune, Maharashtra, India", {"address": 1}, []),
+    ("Registered Office: Quarry Road, Pune, Maharashtra, India", {"address": 1}, []),
     ("Corporate Office:\nAcme Labs Private Limited,\nc/o Rahul Sharma, Plot No 12, Sector 14,\nGurgaon - 122001", {"address": 1}, ["name", "company"]),
     ("Send mail to registered office at PIN Code 110001 today.", {"address": 1}, []),
     *((t, {}, ["address"]) for t in ("He lives in Pune.", "Maharashtra is a state.", "The code is 411045.", "Refer to Page 41 of the documentation.", "The invoice amount was ₹4,11,045 only.", "Order No. 411045 has been processed.", "The date is 10/12/2025.")),
@@ -36,8 +36,8 @@ CASES = [
     ("Father's Name: Rohan Verma", {"name": ["Name", "Rohan Verma"]}, []),
     ("In January 2026, the board of SEBI and NSE reviewed the RHP of the company.", {}, ["name"]),
     ("card 4532 0151 1283 0366 x", {"phone": ["0151 1283 0366"]}, ["credit_card"]),
-    ("Rohan Dey was appointed as the Chief Financial Officer.", {"name": ["Rohan Dey"]}, []),
-    ("A supply agreement with Bhandary Metal Extrusion Private Limited.", {"company": ["Bhandary Metal Extrusion Private Limited"]}, []),
+    ("Kabir Sethi was appointed as the head of sales.", {"name": ["Kabir Sethi"]}, []),
+    ("A supply agreement with Lotus Valley Engineering Private Limited.", {"company": ["Lotus Valley Engineering Private Limited"]}, []),
     ("", {}, ["email"]),
 ]
 
@@ -86,6 +86,16 @@ def test_offsets_slice_back(spark, texts):
         assert row.o == re.sub("[a1]+", "#", row.text)
 
 
+def test_many_matches_take_time_in_proportion(spark):
+    import time
+
+    text = spark.createDataFrame([("a1 " * 60_000 + "😀 a1",)], "text string")
+    start = time.perf_counter()
+    found = text.select(F.size(find_all(F.col("text"), r"a1")).alias("n"), F.element_at(find_all(F.col("text"), r"a1"), -1).alias("last"), F.length(stitch(F.col("text"), find_all(F.col("text"), r"a1"), lambda s: F.lit("#"))).alias("out")).first()
+    assert (found.n, found.last.start, found.last.end, found.out) == (60_001, 180_002, 180_004, 120_003)
+    assert time.perf_counter() - start < 60  # copying an array at each match took minutes
+
+
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(st.tuples(st.integers(0, 20), st.integers(1, 6)), max_size=8), min_size=1, max_size=40))
 def test_claim_is_greedy(spark, groups):

@@ -41,6 +41,51 @@ def test_documents(spark):
     assert got["clean.docx"].text_redactions == 0
 
 
+def _repacked(content, change):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(content)) as a, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as b:
+        for item in a.infolist():
+            b.writestr(item.filename, change(item.filename, a.read(item.filename)))
+    return out.getvalue()
+
+
+def test_damaged_packages_fail_alone(spark):
+    whole = docx.package([["a@b.com"], ["plain"]], {"word/media/a.png": png.encode(np.zeros((30, 30, 3), np.uint8))}, {"title": "Secret"})
+    encrypted = bytearray(whole)
+    for mark, at in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+        i = encrypted.find(mark)
+        while i >= 0:
+            encrypted[i + at] |= 1
+            i = encrypted.find(mark, i + 4)
+    at = whole.find(b"word/media/a.png") + len("word/media/a.png")
+    made = {
+        "good.docx": whole,
+        "core.docx": _repacked(whole, lambda n, d: b"<broken" if n == docx.CORE else d),
+        "encrypted.docx": bytes(encrypted),
+        "truncated.docx": whole[: len(whole) // 2],
+        "media.docx": whole[: at + 4] + b"\xff" * 8 + whole[at + 12 :],
+        "xml.docx": _repacked(whole, lambda n, d: d[:-9] if n == docx.BODY else d),
+    }
+    got = {r.path: r for r in redact_documents(_files(spark, made)).collect()}
+    assert {p for p, r in got.items() if r.status == "done"} == {"good.docx"}
+    assert all(r.message and r.output is None for p, r in got.items() if p != "good.docx")
+
+
+def test_tabs_and_breaks_survive_as_elements(spark):
+    content = docx.package([], body="<w:p><w:r><w:t>Mail a@b.com</w:t><w:tab/><w:t>now</w:t><w:br/><w:t>or later</w:t></w:r></w:p>")
+    row = redact_documents(_files(spark, {"a.docx": content})).first()
+    (paragraph,) = docx.paragraphs_of(bytes(row.output))
+    assert paragraph[4][0].startswith("Mail ") and paragraph[4][0].endswith("\tnow\nor later") and "a@b.com" not in paragraph[4][0]
+    import io
+    import zipfile
+
+    xml = zipfile.ZipFile(io.BytesIO(bytes(row.output))).read(docx.BODY)
+    assert xml.count(b"<w:tab") == 1 and xml.count(b"<w:br") == 1
+
+
 def test_unused_prefixes_survive():
     source = b'<w:document xmlns:w="' + docx.W.encode() + b'" xmlns:w14="urn:x" xmlns:mc="urn:mc" mc:Ignorable="w14"><w:body><w:p><w:r><w:t>a</w:t></w:r></w:p></w:body></w:document>'
     from xml.etree import ElementTree as ET
@@ -87,3 +132,34 @@ def test_stream_equals_batch(spark, tmp_path):
     assert stream.exception() is None
     got = {r.id: r.redacted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {r.id: r.redacted for r in redact(spark.read.parquet(str(folder / "texts.parquet"))).collect()}
+
+
+def test_scored_run(spark):
+    from quillveil.plans import evaluation
+
+    got = {(r.backend, r.category): (r.tp, r.fp, r.fn) for r in evaluation.run(evaluation.cases(spark)).collect()}
+    assert got["patterns", "OVERALL"] == (8, 0, 2) and got["rules", "OVERALL"] == (10, 0, 0)
+
+
+def _tagger():
+    return lambda texts: [[(i, i + 4, "ORG"), (0, 1, "DATE")] if (i := t.find("Acme")) >= 0 else [] for t in texts]
+
+
+def _reader():
+    return lambda images: [[("Hi", 1, 2, 3, 4, 90.0)] * len(x) for x in images]
+
+
+def test_adapters(spark):
+    from quillveil.operators.detect import detect
+    from quillveil.sources import adapters
+
+    df = spark.createDataFrame([(1, "Works at Acme now"), (2, None), (3, "nothing")], "entities int, text string")
+    rows = adapters.with_entities(df.withColumnRenamed("entities", "id"), _tagger)
+    found = {r.id: [(d.category, d.value) for d in r.detections] for r in detect(rows, found="entities").collect()}
+    assert found == {1: [("company", "Acme")], 2: [], 3: []}
+    images = spark.createDataFrame([("a", bytearray(b"xx")), ("b", bytearray(b"")), ("c", None)], "image_id string, content binary")
+    assert [(r.image_id, r.ord, r.left, r.conf) for r in adapters.ocr_words(images, _reader).collect()] == [("a", 0, 1, 90.0), ("a", 1, 1, 90.0)]
+    boxes = adapters.with_boxes(images, lambda: lambda xs: [[(1, 2, 3, 4)] for _ in xs]).collect()
+    assert [[tuple(b) for b in r.faces] for r in boxes] == [[(1, 2, 4, 6)], [(1, 2, 4, 6)], []]
+    codes = adapters.with_codes(images, lambda: lambda xs: [[[(1.5, 2.0), (3.0, 4.0)]] for _ in xs]).collect()
+    assert codes[0].codes[0][1].x == 3.0 and codes[2].codes == []
