@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillveil.llm import ann, bpe, fingerprint, jaccard, language, licenses, mixing, pii, toxicity, warc
+from quillveil.sources.tables import read, spread
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(read(spark, folder, name))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
