@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillveil.functions.spans import contains_any, context, find_all, let, none
+from quillveil.functions.spans import contains_any, context, find_each
 
 # The patterns and keywords that decide what counts as each category.
 EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
@@ -37,55 +37,31 @@ def luhn_valid(text: Column) -> Column:
     return F.when(F.regexp_like(digits, F.lit("^[0-9]{13,19}$")), F.luhn_check(digits) if hasattr(F, "luhn_check") else F.call_function("luhn_check", digits)).otherwise(F.lit(False))
 
 
-def _digits(text: Column, spans: Column) -> Column:
-    return F.when(F.regexp_like(text, F.lit(r"\d\d")), spans).otherwise(none())
+#: Keywords one of which must, or none of which may, stand near a span.
+NEEDED = {"aadhaar": NEEDS_AADHAAR, "passport": NEEDS_PASSPORT, "dob": NEEDS_DOB}
+FORBIDDEN = {"phone": NOT_PHONE}
 
 
-def _near(text: Column, spans: Column, keywords: tuple[str, ...]) -> Column:
-    return F.filter(spans, lambda s: contains_any(context(text, s["start"], s["end"]), keywords))
+def _gate(text: Column, category: str) -> Column | None:
+    """A cheap condition without which a text has no span of the category."""
+    if category in NEEDED:
+        return contains_any(F.lower(text), NEEDED[category])
+    return {"email": F.contains(text, F.lit("@")), "ip": None}.get(category, F.regexp_like(text, F.lit(r"\d\d")))
 
 
-def _needing(text: Column, category: str, keywords: tuple[str, ...]) -> Column:
-    """No scan where the whole text lacks the keywords."""
-    found = let(find_all(text, "(?U)" + PATTERNS[category], category), lambda spans: _near(text, spans, keywords))
-    return F.when(contains_any(F.lower(text), keywords), found).otherwise(none())
+def found(text: Column, *categories: str) -> Column:
+    """Candidate spans of the categories, in this order."""
+    near = lambda s, words: contains_any(context(text, s["start"], s["end"]), words)
 
+    def holds(s: Column) -> Column:
+        out = F.lit(True)
+        for c in categories:
+            rule = near(s, NEEDED[c]) if c in NEEDED else ~near(s, FORBIDDEN[c]) if c in FORBIDDEN else luhn_valid(s["value"]) if c == "credit_card" else None
+            if rule is not None:
+                out = out & ((s["category"] != c) | rule)
+        return out
 
-def email(text: Column) -> Column:
-    return F.when(F.contains(text, F.lit("@")), find_all(text, "(?U)" + EMAIL, "email")).otherwise(none())
+    return F.filter(find_each(text, [(c, "(?U)" + PATTERNS[c], _gate(text, c)) for c in categories]), holds)
 
 
-def pan(text: Column) -> Column:
-    return _digits(text, find_all(text, "(?U)" + PAN, "pan"))
-
-
-def ssn(text: Column) -> Column:
-    return _digits(text, find_all(text, "(?U)" + SSN, "ssn"))
-
-
-def ip(text: Column) -> Column:
-    return find_all(text, "(?U)" + IP, "ip")
-
-
-def phone(text: Column) -> Column:
-    found = find_all(text, "(?U)" + PHONE, "phone")
-    return _digits(text, F.filter(found, lambda s: ~contains_any(context(text, s["start"], s["end"]), NOT_PHONE)))
-
-
-def credit_card(text: Column) -> Column:
-    return _digits(text, F.filter(find_all(text, "(?U)" + CARD, "credit_card"), lambda s: luhn_valid(s["value"])))
-
-
-def aadhaar(text: Column) -> Column:
-    return _needing(text, "aadhaar", NEEDS_AADHAAR)
-
-
-def passport(text: Column) -> Column:
-    return _needing(text, "passport", NEEDS_PASSPORT)
-
-
-def dob(text: Column) -> Column:
-    return _needing(text, "dob", NEEDS_DOB)
-
-
-DETECTORS = {"email": email, "pan": pan, "ssn": ssn, "ip": ip, "phone": phone, "credit_card": credit_card, "aadhaar": aadhaar, "passport": passport, "dob": dob}
+DETECTORS = {c: (lambda text, c=c: found(text, c)) for c in PATTERNS}

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillveil.functions.spans import let, strip
+from quillveil.functions.spans import items, let, strip
 
 FIRST = ("Aarav", "Alex", "Anita", "Bela", "Carl", "Dana", "Elena", "Farid", "Grace", "Hugo", "Ines", "Jonas", "Kavya", "Lina", "Marco", "Nadia", "Oscar", "Priya", "Quentin", "Rosa")
 LAST = ("Abbott", "Bauer", "Castro", "Desai", "Ekman", "Fischer", "Grover", "Hansen", "Iyer", "Jensen", "Keller", "Lopez", "Morgan", "Nair", "Olsen", "Patel", "Quist", "Romero", "Sato", "Turner")
@@ -42,7 +42,7 @@ def _digits(category: Column | str, value: Column) -> Column:
 
 
 def _pick(pool: tuple[str, ...] | str, n: Column) -> Column:
-    return F.get(F.array(*map(F.lit, pool)), (n % len(pool)).cast("int"))
+    return F.get(items(pool), (n % len(pool)).cast("int"))
 
 
 def _letter(digits: Column, at: int, pool: str = _LETTERS) -> Column:

@@ -49,20 +49,29 @@ def span(start: Column, end: Column, category: Column | str, value: Column) -> C
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), category.alias("category"), value.alias("value"))
 
 
-def find_all(text: Column, pattern: str, category: str = "") -> Column:
-    """Every match of the pattern with its offsets, in order. The pattern must not match the empty string.
+def find_each(text: Column, wanted: list[tuple[str, str, Column | None]]) -> Column:
+    """For each (category, pattern, gate) in turn, every match with its offsets, in order. A text that a gate is false of is not scanned.
 
-    Matches and what lies between them give the offsets; both come from one scan each.
+    Matches and what lies between them give the offsets; both come from one scan each. No pattern may match the empty string.
     """
 
+    def part(category: str, pattern: str, gate: Column | None) -> Column:
+        here = F.regexp_like(text, F.lit(pattern))
+        both = F.struct(F.lit(category).alias("category"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
+        return F.when(here if gate is None else gate & here, both)
+
     def walk(found: Column) -> Column:
         gaps = F.slice(found["g"], F.lit(1), F.size(found["m"]))
         ends = starts(F.zip_with(gaps, found["m"], lambda g, m: F.length(g) + F.length(m)))  # of the match before
         first = F.zip_with(ends, gaps, lambda e, g: e + F.length(g))
-        return F.zip_with(first, found["m"], lambda a, m: span(a, a + F.length(m), category, m))
+        return F.zip_with(first, found["m"], lambda a, m: span(a, a + F.length(m), found["category"], m))
 
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.coalesce(F.when(F.regexp_like(text, F.lit(pattern)), let(F.struct(matches.alias("m"), F.split(text, pattern, -1).alias("g")), walk)), none())
+    return F.flatten(F.transform(F.filter(F.array(*(part(*w) for w in wanted)), lambda p: p.isNotNull()), walk))
+
+
+def find_all(text: Column, pattern: str, category: str = "") -> Column:
+    """Every match of the pattern with its offsets, in order."""
+    return find_each(text, [(category, pattern, None)])
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -82,11 +91,13 @@ def stitch(text: Column, spans: Column, value: Callable[[Column], Column]) -> Co
     return F.array_join(pieces, "")
 
 
+def items(values: tuple[str, ...] | str) -> Column:
+    """A constant array, folded by the optimiser: one call where a literal for each value would be many."""
+    return F.split(F.lit("\x1f".join(values)), "\x1f")
+
+
 def contains_any(text: Column, keywords: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for k in keywords:
-        out = out | F.contains(text, F.lit(k))
-    return out
+    return F.exists(items(keywords), lambda k: F.contains(text, k))
 
 
 def context(text: Column, start: Column, end: Column, width: int = 60) -> Column:

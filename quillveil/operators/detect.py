@@ -20,7 +20,8 @@ def candidates(text: Column, policy: Policy, found: Column | None = None, preced
         parts.append(address.addresses(text, found))
     if policy.name:
         parts.append(names.names(text))
-    parts += [patterns.DETECTORS[c](text) for c in ORDER[precedence] if getattr(policy, c)]
+    if wanted := [c for c in ORDER[precedence] if getattr(policy, c)]:
+        parts.append(patterns.found(text, *wanted))
     if found is not None and (policy.name or policy.company):
         parts.append(entities.gated(found, policy.name, policy.company))
     return F.concat(*parts) if parts else none()
@@ -31,23 +32,27 @@ def detect(df: DataFrame, text: str = "text", policy: Policy = Policy(), found:
 
     found: "rules" for entities by rules, None for no entities, or the name of a column that holds them. A null text has no spans.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    own = entities.rule_entities(body) if found == "rules" else F.col(found) if found else None
-    held = df.withColumn("_entities", own) if own is not None else df
-    column = candidates(body, policy, F.col("_entities") if own is not None else None, precedence)
-    return held.withColumn("_candidates", column).withColumn(out, claim(F.col("_candidates"))).drop("_candidates", "_entities")
+    return df.withColumn(out, spans(F.col(text), policy, found, precedence))
 
 
-def replaced(spans: Column) -> Column:
+def spans(text: Column, policy: Policy, found: str | None = "rules", precedence: str = "compat") -> Column:
+    """The claimed spans of a text, as one expression."""
+    body = F.coalesce(text, F.lit(""))
+    if found is None:
+        return claim(candidates(body, policy, None, precedence))
+    own = entities.rule_entities(body) if found == "rules" else F.coalesce(F.col(found), F.array().cast(entities.ENTITIES))
+    return let(own, lambda e: claim(candidates(body, policy, e, precedence)))
+
+
+def replaced(own: Column) -> Column:
     """Spans with their replacements."""
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["category"].alias("category"), s["value"].alias("value"), pseudonym.replacement(s["category"], s["value"]).alias("replacement")))
+    return F.transform(own, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["category"].alias("category"), s["value"].alias("value"), pseudonym.replacement(s["category"], s["value"]).alias("replacement")))
 
 
 def redact(df: DataFrame, text: str = "text", out: str = "redacted", **options) -> DataFrame:
     """df with `detections` (with replacements) and `out`, the text with each of them replaced; a null text stays null."""
-    found = detect(df, text, **options)
-    found = found.withColumn("detections", replaced(F.col("detections")))
-    return found.withColumn(out, F.when(F.size("detections") > 0, stitch(F.col(text), F.col("detections"), lambda s: s["replacement"])).otherwise(F.col(text)))
+    rows = df.withColumn("detections", replaced(spans(F.col(text), **{"policy": Policy(), **options})))
+    return rows.withColumn(out, F.when(F.size("detections") > 0, stitch(F.col(text), F.col("detections"), lambda s: s["replacement"])).otherwise(F.col(text)))
 
 
 def coalesce_runs(runs: Column) -> Column:
@@ -61,11 +66,11 @@ def coalesce_runs(runs: Column) -> Column:
     return let(F.transform(runs, lambda r: F.coalesce(r, F.lit(""))), joined)
 
 
-def write_runs(runs: Column, spans: Column) -> Column:
+def write_runs(runs: Column, replacements: Column) -> Column:
     """Runs (run_index, start, end, text) with the spans written back: a replacement goes into the first run that its span overlaps."""
 
     def rewrite(run: Column) -> Column:
-        own = F.filter(spans, lambda s: overlap(s, run))
+        own = F.filter(replacements, lambda s: overlap(s, run))
         start = F.struct(run["start"].alias("at"), F.lit("").alias("out"))
 
         def step(acc: Column, s: Column) -> Column:

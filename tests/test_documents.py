@@ -141,18 +141,16 @@ def test_scored_run(spark):
     assert got["patterns", "OVERALL"] == (8, 0, 2) and got["rules", "OVERALL"] == (10, 0, 0)
 
 
-def _tagger():
-    return lambda texts: [[(i, i + 4, "ORG"), (0, 1, "DATE")] if (i := t.find("Acme")) >= 0 else [] for t in texts]
-
-
-def _reader():
-    return lambda images: [[("Hi", 1, 2, 3, 4, 90.0)] * len(x) for x in images]
-
-
 def test_adapters(spark):
     from quillveil.operators.detect import detect
     from quillveil.sources import adapters
 
+    def _tagger():
+        return lambda texts: [[(i, i + 4, "ORG"), (0, 1, "DATE")] if (i := t.find("Acme")) >= 0 else [] for t in texts]
+
+    def _reader():
+        return lambda images: [[("Hi", 1, 2, 3, 4, 90.0)] * len(x) for x in images]
+
     df = spark.createDataFrame([(1, "Works at Acme now"), (2, None), (3, "nothing")], "entities int, text string")
     rows = adapters.with_entities(df.withColumnRenamed("entities", "id"), _tagger)
     found = {r.id: [(d.category, d.value) for d in r.detections] for r in detect(rows, found="entities").collect()}
