@@ -23,6 +23,8 @@ from quillveil.llm.text import pieces, shingles, text_buffer
 from quillveil.llm.workers import lean
 
 K = 128
+#: Bytes of text in a range of ids: from the one with few ranges to the other with many; tasks at most, each of several ranges then.
+LEAST_BYTES, MOST_BYTES, TASKS = 4 << 20, 64 << 20, 100_000
 #: Where rows without doc_id stand among the ids.
 _NO_ID = -(1 << 63)
 
@@ -94,7 +96,7 @@ def with_next(df: DataFrame, blocks: int) -> DataFrame:
     The ranges come from approximate quantiles; what goes to the driver, and to each task, is two numbers for each range.
     """
     rows = df.select(F.col("doc_id").cast("long"), F.col("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("key"))
-    cuts = rows.agg(F.percentile_approx("key", [i / blocks for i in range(1, blocks)], 10 * blocks)).first()[0] or []
+    cuts = rows.agg(F.percentile_approx("key", [i / blocks for i in range(1, blocks)], 4 * blocks)).first()[0] or []
     shared = np.unique(np.array(cuts, np.int64))
     cut = df.sparkSession.sparkContext.broadcast(shared)
 
@@ -120,16 +122,16 @@ def with_next(df: DataFrame, blocks: int) -> DataFrame:
     return rows.select("doc_id", "text", "key", F.posexplode(parts_of("key")).alias("i", "part")).select("part", "doc_id", "text", (F.col("i") == 0).alias("own"), "key")
 
 
-def compare_edited(df: DataFrame, k: int = K, bytes_per_part: int = 256 << 20) -> DataFrame:
+def compare_edited(df: DataFrame, k: int = K) -> DataFrame:
     """Fingerprint each text and its edited text, whose last floor(n / 2) code points are the first ones of the next document.
 
     Next is by ascending doc_id; the last document is followed by the first. Rows with one id are ordered by text, rows without
-    an id come first. Texts are dealt once, by ranges of ids, 24 at least.
+    an id come first. Texts are dealt once, by ranges of ids.
     """
     total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(max(24, total // bytes_per_part))
+    blocks = int(max(24, total // min(MOST_BYTES, max(LEAST_BYTES, total // 2000))))
     dealt = with_next(df, blocks)
-    ordered = dealt.repartition(blocks, "part").sortWithinPartitions("part", F.desc("own"), "key", "text").drop("key")
+    ordered = dealt.repartition(min(blocks, TASKS), "part").sortWithinPartitions("part", F.desc("own"), "key", "text").drop("key")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def compare(ids: list[int], texts: list[str], sketches: list[np.ndarray], n: int):
