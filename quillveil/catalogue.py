@@ -118,7 +118,7 @@ _CALLS = CORPUS + " WHERE o_orderkey % 16 IN (1, 2)"
 
 @_query(_spans_sql(_CALLS, "row_id", "9[0-9]{9}", f"NOT {_near_sql(patterns.NOT_PHONE)}"))
 def find_phone_ctx(spark: SparkSession, folder: str) -> DataFrame:
-    return _found(corpus(spark, folder), "row_id", F.transform(patterns.phone(F.col("text")), lambda s: span(s["start"] + F.length(s["value"]) - F.length(F.ltrim(s["value"])), s["end"], "phone", F.ltrim(s["value"]))))
+    return _found(corpus(spark, folder), "row_id", F.transform(patterns.found(F.col("text"), "phone"), lambda s: span(s["start"] + F.length(s["value"]) - F.length(F.ltrim(s["value"])), s["end"], "phone", F.ltrim(s["value"]))))
 
 
 @_query(_spans_sql(_PLAIN, "doc_id", patterns.CARD))
