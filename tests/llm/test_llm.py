@@ -472,6 +472,18 @@ def test_pipeline_against_brute_force(spark, encoder, tmp_path):
     assert sorted(r.ids for r in after["byte_bpe"]) == sorted(encoder.encode_ordinary(r.text) for r in after["mixing"])
 
 
+def test_pipeline_stages_keep_columns_of_any_name_and_take_empty_tables(spark, tmp_path):
+    names = ("score", "predicted", "_text", "size", "positions")
+    docs = spark.createDataFrame([(1, "plain words here", "s", 16, *"abcde"), (2, None, None, None, *"abcde")], "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = corpus_pipeline.without_toxic(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+    assert corpus_pipeline.mixed(spark, docs, "").drop("text", "n_chars").collect()[0].score == "a"
+    empty = docs.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+
+
 def test_pipeline_keeps_one_of_repeated_rows(spark):
     base = " ".join(f"clean{i}" for i in range(40))
     rows = [(5, base), (5, base), (7, base + " end"), (8, "alone " * 9), (8, "alone " * 9), (9, None), (9, None), (None, base), (10, "other text of more than five words")]
