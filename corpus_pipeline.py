@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept and returns documents of the same columns;
 the last returns doc_id, ids, n_tokens and ids_sha256. Nulls and empty texts pass each stage: they are not toxic, copies of
 nothing, hold no personal data, and are never taken by the mix. Repeated rows are one document after the second stage. Columns
-of any name pass through as they are. An empty table gives an empty result.
+whose names have no dot pass through as they are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
