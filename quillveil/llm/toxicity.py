@@ -10,7 +10,8 @@ Insults are learned: stems (the first 3 to 8 letters of words, and whole words)
 don't, weighted by log-odds. Inflected words share their stem, so stems are taken as short as their precision allows. Copies
 of a document count once, by minima of shingle hashes. A logistic model of the clause scores gives the score.
 
-Learning reads at most `SAMPLE` labelled documents of each label, those with the smallest hash of doc_id; scoring reads all.
+Learning reads at most `SAMPLE` labelled documents of each label, those with the smallest hash of doc_id, and of rows that share
+a doc_id the smallest text; scoring reads all.
 
 Edge cases: null and empty texts match nothing and have the score of a clean text, below one half; null labels teach nothing; repeated rows
 are scored alike; without labelled rows, or with one label only, a built-in list of insults is used; an empty table gives no
@@ -264,9 +265,9 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     for y in (0, 1):
         part = rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
-    found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", "text", "toxic").collect()
-    found.sort(key=lambda r: (r[0], r[1]))
-    return learn([r[1] for r in found], [r[2] for r in found])
+    found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    found.sort(key=lambda r: r["doc_id"])
+    return learn([r["text"] for r in found], [r["toxic"] for r in found])
 
 
 @lru_cache(4)
