@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import itertools
+import math
 import re
 import zlib
 
@@ -319,6 +321,33 @@ def test_toxicity_grammar():
     assert toxicity.compose(toxicity.negation(), toxicity.insult(), "ihunro").run("noi") == [0.0, 0.0, 0.1]
 
 
+def test_toxicity_grammar_equals_plain_rules_on_all_short_clauses():
+    def plain(clause):
+        out = []
+        for t, s in enumerate(clause):
+            near = [p for p in range(max(0, t - 3), t) if clause[p] == "n" and not set(clause[p + 1 : t]) & set("ih")]
+            before = clause[:t]
+            pay = 0.0
+            if s == "i":
+                pay = 0.1 if near else 0.4 if "r" in before else 1.5 if "u" in before else 1.0
+            elif s == "h":
+                pay = 0.1 if near else 0.4 if "r" in before else 2.5 if "u" in before else 1.5
+            out.append(pay)
+        return out
+
+    for n in range(1, 7):
+        for clause in map("".join, itertools.product("ihunro", repeat=n)):
+            assert toxicity.grammar().run(clause) == pytest.approx(plain(clause)), clause
+
+
+def test_op7_learns_one_text_of_each_id(spark):
+    rows = [(i, f"you idiot number {i}" if i % 2 else f"fine day number {i}") for i in range(1, 60)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    kinds = "doc_id long, text string"
+    once = toxicity.train(spark.createDataFrame(rows, kinds), labels)
+    assert toxicity.train(spark.createDataFrame(rows + [(1, rows[0][1])] * 500, kinds), labels) == once and "idi" in once.stems | once.whole
+
+
 def test_long_clauses_are_read_once_and_whole():
     reader = toxicity.Reader(toxicity.Model({"idio": 3.0}, {}, ()))
     score = lambda t: reader.features(t)[0]
@@ -365,6 +394,60 @@ def test_a_document_can_mix_all_languages():
     assert chosen[0].tolist() == [True] * 6 + [False] and shares[0, :6] == pytest.approx(1 / 6)
 
 
+def test_mixture_equals_plain_enumeration():
+    rng = np.random.default_rng(23)
+
+    def plain(rows, members):
+        share = dict.fromkeys(members, 1 / len(members))
+        for _ in range(12):
+            held = [{j: share[j] * math.exp(row[j] - max(row)) for j in members} for row in rows]
+            share = {j: sum(h[j] / sum(h.values()) for h in held) / len(rows) for j in members}
+        return share, sum(max(row) + math.log(sum(share[j] * math.exp(row[j] - max(row)) for j in members)) for row in rows)
+
+    k, docs = 4, []
+    for _ in range(60):
+        own = rng.choice(k, int(rng.integers(1, k + 1)), replace=False)
+        rows = rng.normal(-90, 2, (int(rng.integers(2, 40)), k))
+        rows[np.arange(len(rows)), rng.choice(own, len(rows))] += 12
+        docs.append(rows)
+    shares, chosen = language.infer(np.concatenate(docs), np.concatenate(([0], np.cumsum([len(d) for d in docs]))))
+    for rows, share, held in zip(docs, shares, chosen):
+        sets = [m for n in range(1, k + 1) for m in itertools.combinations(range(k), n)]
+        value = {m: plain(rows, m)[1] - 3.0 * math.log(len(rows) + 1) * len(m) for m in sets}
+        own = tuple(np.flatnonzero(held))
+        assert value[own] == pytest.approx(max(value.values())) and [share[j] for j in own] == pytest.approx([plain(rows, own)[0][j] for j in own])
+
+
+def test_op9_equals_edit_distance_to_every_template():
+    rng = np.random.default_rng(24)
+    templates = [(t.license, t.words, t.text) for t in licenses._templates()[0]]
+
+    def distance(a, b):
+        """Words of a missing and words added, up to the end of the best prefix of b."""
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row = row, [i + 1]
+            for j, y in enumerate(b):
+                row.append(last[j] if x == y else 1 + min(last[j + 1], row[j]))
+        return min(row)
+
+    for name, words, text in templates:
+        for _ in range(3):
+            own = text.split()
+            inner = [i for i in range(3, len(own) - 2) if not any(c in own[i] for c in licenses.CUES)]
+            for i in rng.choice(inner, min(len(inner), len(own) // 25), replace=False) if inner else ():
+                own[i] = f"{own[i]} zu" if rng.random() < 0.5 else "zu"
+            notice = " ".join(own)
+            body = licenses._WORD.findall(notice)
+            cost = {}
+            for other, theirs, _ in templates:
+                if len(theirs) <= len(body) + 9:
+                    cost[other] = min(cost.get(other, 9**9), distance(theirs, body) - len(theirs))
+            best = {x for x, c in cost.items() if c == min(cost.values())}
+            found = licenses.scan(f"Some words here.\n{notice}\nOther words there.")
+            assert len(found) == 1 and found[0].license in best and name in best, (name, notice, found, best)
+
+
 def test_op9_notices(spark):
     texts = [*ODD, "Words.\nReleased under the MIT License.\nMore", "x. Licensed under CC BY-NC 4.0.", "This is no license at all, said she", licenses.TEMPLATES["MIT"][1].upper() + "\nLicensed under the Apache License, Version 2.0."]
     rows = licenses.find(documents(spark, texts)).orderBy("doc_id").collect()
@@ -383,6 +466,12 @@ def test_notices_within_a_sentence_are_found(before):
             assert [(x.license, x.start, x.missing, x.added) for x in found] == [(name, 5 + len(before), 0, 0)]
 
 
+def test_tags_and_cues_of_licenses():
+    assert all(any(c in t.text for c in licenses.CUES) for t in licenses._templates()[0])
+    found = licenses.scan("// SPDX-License-Identifier: GPL-2.0-or-later\n# SPDX-License-Identifier: MIT\nSPDX-License-Identifier: none")
+    assert [x.license for x in found] == ["GPL-2.0", "MIT"]
+
+
 def test_every_likely_template_is_compared(monkeypatch):
     monkeypatch.setattr(licenses, "gain", lambda block, i: 0.9 - i / 100)  # by rank, the right one is last
     assert [x.license for x in licenses.scan("This is free and unencumbered software released into the public domain.")] == ["Unlicense"]
