@@ -228,26 +228,26 @@ def redaction_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _kinds_sql(*parts: tuple[str, str, str]) -> str:
-    return " UNION ALL ".join(f"SELECT row_id, '{c}' AS category FROM ({_spans_sql(CORPUS, 'row_id', p, w)})" for c, p, w in parts)
+    return " UNION ALL ".join(f"""SELECT row_id, '{c}' AS category, "start", "end" FROM ({_spans_sql(CORPUS, 'row_id', p, w)})""" for c, p, w in parts)
+
+
+#: Every span of the corpus; the label of a name is counted with it.
+_KINDS = _kinds_sql(
+    ("email", patterns.EMAIL, "true"),
+    ("pan", patterns.PAN, "true"),
+    ("ssn", patterns.SSN, "true"),
+    ("ip", patterns.IP, "true"),
+    ("phone", "\\b9[0-9]{9}\\b", f"NOT {_near_sql(patterns.NOT_PHONE)}"),
+    ("credit_card", patterns.CARD, _LUHN),
+    ("aadhaar", patterns.AADHAAR, _near_sql(patterns.NEEDS_AADHAAR)),
+    ("passport", patterns.PASSPORT, _near_sql(patterns.NEEDS_PASSPORT)),
+    ("dob", patterns.DOB, _near_sql(patterns.NEEDS_DOB)),
+    ("address", "Registered Office: Plot [0-9]+, [A-Za-z ]+ Road, [A-Za-z]+ [0-9]{6}", "true"),
+    ("name", "Director: [A-Z][a-z]+ [A-Z][a-z]+", "true"),
+)
 
 
-@_query(
-    "SELECT row_id % 16 AS template, category, count(*) AS n FROM ("
-    + _kinds_sql(
-        ("email", patterns.EMAIL, "true"),
-        ("pan", patterns.PAN, "true"),
-        ("ssn", patterns.SSN, "true"),
-        ("ip", patterns.IP, "true"),
-        ("phone", "\\b9[0-9]{9}\\b", f"NOT {_near_sql(patterns.NOT_PHONE)}"),
-        ("credit_card", patterns.CARD, _LUHN),
-        ("aadhaar", patterns.AADHAAR, _near_sql(patterns.NEEDS_AADHAAR)),
-        ("passport", patterns.PASSPORT, _near_sql(patterns.NEEDS_PASSPORT)),
-        ("dob", patterns.DOB, _near_sql(patterns.NEEDS_DOB)),
-        ("address", "Registered Office: Plot [0-9]+, [A-Za-z ]+ Road, [A-Za-z]+ [0-9]{6}", "true"),
-        ("name", "Director: [A-Z][a-z]+ [A-Z][a-z]+", "true"),
-    )
-    + ") GROUP BY ALL"
-)
+@_query(f"SELECT row_id % 16 AS template, category, count(*) AS n FROM ({_KINDS}) GROUP BY ALL")
 def redaction_by_template(spark: SparkSession, folder: str) -> DataFrame:
     """All detectors but entities at once, claimed against each other, over the texts of every template."""
     return counts(detect(corpus(spark, folder), found=None), "template")
@@ -577,18 +577,35 @@ def span_to_box(spark: SparkSession, folder: str) -> DataFrame:
     return corpus(spark, folder).select("row_id", F.size(hit).cast("long").alias("hit")).where("hit > 0")
 
 
+#: The category that the texts of a template hold, and the code points in which the labelled spans lie.
+_HELD = {0: "email", 1: "phone", 3: "pan", 4: "ssn", 5: "aadhaar", 7: "passport", 9: "dob", 13: "address", 15: "name"}
+_FROM, _TO = 12, 16
+
+
 def _cases(spark: SparkSession, folder: str) -> DataFrame:
-    """Predictions of the corpus against what its templates hold."""
-    held = {0: "email", 1: "phone", 3: "pan", 4: "ssn", 5: "aadhaar", 7: "passport", 9: "dob", 13: "address", 15: "name"}
+    """Predictions of the corpus against labelled spans that only some predictions touch."""
     rows = detect(corpus(spark, folder), found=None)
     kind = F.lit(None).cast("string")
-    for t, c in held.items():
+    for t, c in _HELD.items():
         kind = F.when(F.col("template") == t, c).otherwise(kind)
-    truth = F.when(kind.isNotNull(), F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), kind.alias("category")))).otherwise(F.array().cast("array<struct<start:int,end:int,category:string>>"))
+    truth = F.when(kind.isNotNull(), F.array(F.struct(F.lit(_FROM).alias("start"), F.lit(_TO).alias("end"), kind.alias("category")))).otherwise(F.array().cast("array<struct<start:int,end:int,category:string>>"))
     return rows.select("row_id", F.col("detections").alias("predicted"), truth.alias("truth"))
 
 
-@_query()
+def _scores_sql(relation: str) -> str:
+    """category, tp, fp, fn of a relation, with their ratios, and OVERALL."""
+    return f"SELECT category, tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE (fn = 0)::INT::DOUBLE END AS precision, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE (fp = 0)::INT::DOUBLE END AS recall, CASE WHEN tp > 0 THEN 2.0 * (tp::DOUBLE / (tp + fp)) * (tp::DOUBLE / (tp + fn)) / ((tp::DOUBLE / (tp + fp)) + (tp::DOUBLE / (tp + fn))) ELSE 0.0 END AS f1 FROM (SELECT coalesce(category, 'OVERALL') AS category, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM ({relation}) GROUP BY ROLLUP (category))"
+
+
+_LABELLED = f"SELECT row_id, CASE template {' '.join(f'WHEN {t} THEN {chr(39)}{c}{chr(39)}' for t, c in _HELD.items())} END AS category FROM ({CORPUS})"
+
+
+@_query(
+    _scores_sql(
+        f"""SELECT coalesce(p.category, t.category) AS category, least(coalesce(touching, 0), (t.category IS NOT NULL)::INT) AS tp, coalesce(found, 0) - least(coalesce(touching, 0), (t.category IS NOT NULL)::INT) AS fp, (t.category IS NOT NULL)::INT - least(coalesce(touching, 0), (t.category IS NOT NULL)::INT) AS fn
+FROM (SELECT row_id, category, count(*) AS found, count(*) FILTER (WHERE "start" < {_TO} AND "end" > {_FROM}) AS touching FROM ({_KINDS}) GROUP BY ALL) p FULL JOIN (SELECT * FROM ({_LABELLED}) WHERE category IS NOT NULL) t ON p.row_id = t.row_id AND p.category = t.category"""
+    )
+)
 def eval_prf(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.metrics(_cases(spark, folder))
 
@@ -603,7 +620,7 @@ def eval_run(spark: SparkSession, folder: str) -> DataFrame:
 _SCORES = "SELECT l_returnflag AS category, count(*) FILTER (WHERE l_linenumber = 1) AS tp, count(*) FILTER (WHERE l_linenumber = 2) AS fp, count(*) FILTER (WHERE l_linenumber = 3) AS fn FROM lineitem GROUP BY 1"
 
 
-@_query(f"SELECT category, tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE (fn = 0)::INT::DOUBLE END AS precision, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE (fp = 0)::INT::DOUBLE END AS recall, CASE WHEN tp > 0 THEN 2.0 * (tp::DOUBLE / (tp + fp)) * (tp::DOUBLE / (tp + fn)) / ((tp::DOUBLE / (tp + fp)) + (tp::DOUBLE / (tp + fn))) ELSE 0.0 END AS f1 FROM (SELECT coalesce(category, 'OVERALL') AS category, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM ({_SCORES}) GROUP BY ROLLUP (category))")
+@_query(_scores_sql(_SCORES))
 def eval_micro_rollup(spark: SparkSession, folder: str) -> DataFrame:
     is_line = lambda n: F.count(F.when(F.col("l_linenumber") == n, 1))
     rows = _table(spark, folder, "lineitem").rollup("l_returnflag").agg(is_line(1).alias("tp"), is_line(2).alias("fp"), is_line(3).alias("fn"))
@@ -648,7 +665,8 @@ def stream_redact_available_now(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where(rows["text"] != rows["redacted"]).select("doc_id", "redacted")
 
 
-@_query()
+#: The turns hold no personal data.
+@_query("SELECT conv_id || '-' || turn || '.docx' AS path, coalesce(text, '') AS text, 'done' AS status, NULL::VARCHAR AS message FROM conversations")
 def docx_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations packed as DOCX files, redacted, and read again: a row for each turn, its text null where it failed."""
     import pyarrow as pa
@@ -672,7 +690,40 @@ def docx_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("path", "status", "message", "output").mapInArrow(read, "path string, text string, status string, message string")
 
 
-@_query()
+_HOST = "'10.' || (c_custkey % 300)::VARCHAR || '.3.' || (c_custkey % 256)::VARCHAR"
+
+
+@_query(
+    f"""SELECT c_custkey, 2::BIGINT AS scanned, CASE WHEN c_custkey % 300 < 256 THEN 'The server is at ' || {_IP_SQL.format(s=_seed_sql("ip", _HOST))} || '| today.' ELSE 'The server is at 10|' || ({_HOST})[3:] || ' today.' END AS body,
+'Desk ' || {_IP_SQL.format(s=_seed_sql("ip", "'172.16.5.9'"))} AS header FROM customer"""
+)
+def docx_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """A DOCX file for each customer: an address split between two runs, and a header that two sections share."""
+    import pyarrow as pa
+
+    from quillveil.plans.documents import redact_documents
+    from quillveil.sources import docx
+
+    def pack(batches):
+        for batch in batches:
+            made = [docx.package([["The server is at 10", f"{h[2:]} today."]], header=["Desk 172.16.5.9"]) for h in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(m) for m in made], pa.int64()), pa.array(made, pa.binary())], names=["path", "length", "content"])
+
+    host = F.concat_ws(".", F.lit("10"), F.col("c_custkey") % 300, F.lit("3"), F.col("c_custkey") % 256)
+    rows = _table(spark, folder, "customer").select(F.format_string("%d.docx", "c_custkey").alias("path"), host.alias("host"))
+    out = redact_documents(rows.mapInArrow(pack, "path string, length long, content binary"), policy=Policy.only("ip"))
+
+    def read(batches):
+        for batch in batches:
+            own = [["|".join(p[-1]) for p in docx.paragraphs_of(made)] for made in batch.column(2).to_pylist()]
+            keys = pa.array([int(p.removesuffix(".docx")) for p in batch.column(0).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([keys, batch.column(1), pa.array([o[0] for o in own], pa.string()), pa.array([o[1] for o in own], pa.string())], names=["c_custkey", "scanned", "body", "header"])
+
+    return out.select("path", "paragraphs_scanned", "output").mapInArrow(read, "c_custkey long, scanned long, body string, header string")
+
+
+#: Corners are included, and the image has 60 by 40 pixels.
+@_query("SELECT l_orderkey, count(DISTINCT ((l_partkey % 40 + x) * 40 + l_suppkey % 30 + y)) AS black FROM lineitem, range(10) a(x), range(5) b(y) GROUP BY l_orderkey")
 def mask_png(spark: SparkSession, folder: str) -> DataFrame:
     """White images, one an order, with the boxes of its lines masked: how many pixels are black."""
     import numpy as np
