@@ -68,7 +68,7 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find(_table(spark, folder, "documents").select("doc_id", "text"))
     joined = lambda name: F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
