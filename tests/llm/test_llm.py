@@ -298,6 +298,12 @@ def test_op6_targets_and_taken(spark):
         assert r.positions == sorted(r.positions) and all(0 <= p <= 1 for p in r.positions) and (r.taken > 0) == (r.position is not None)
     for s in sources:
         assert abs(sum(r.taken for r in got if rows[r.doc_id][2] == s) - target[s]) <= 1
+        drawn = sorted((p, q) for r in got if rows[r.doc_id][2] == s for p, q in zip(r.positions, r.parts, strict=True))
+        slope = 1 - 2 * sources.index(s) / (len(sources) - 1)
+        before = 0
+        for t, part in drawn:  # the integral of the source's rate at a position is what the mix took before it
+            assert target[s] * (t + slope * t * (1 - t)) == pytest.approx(before, abs=1e-6 * target[s] + 1e-6)
+            before += part
     assert mixing.mix(df.where("false")).count() == 0
 
 
