@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,15 +23,36 @@ def text_patches(paragraphs: DataFrame, policy: Policy, precedence: str = "compa
     return rows.withColumn("written", F.when(F.size("detections") > 0, write_runs(F.col("_c.runs"), F.col("detections")))).drop("_c")
 
 
-def mask_images(media: DataFrame, boxes: DataFrame | None, visual: bool) -> DataFrame:
+#: Builds, once in each task, a function of an image's bytes and boxes (x1, y1, x2, y2) to the bytes with these areas filled.
+Codec = Callable[[], Callable[[bytes, list[tuple[int, int, int, int]]], bytes]]
+
+
+def _masked(content: bytes, areas: list[tuple[int, int, int, int]], other: Callable | None) -> bytes:
+    """The image with the areas filled, by the PNG codec, or by the other one where that cannot read it."""
+    try:
+        return png.masked(content, areas)
+    except ValueError:
+        if other is None:
+            raise
+    try:
+        out = other(content, areas)
+    except Exception as e:  # whatever a foreign codec raises fails this image's document alone
+        raise ValueError(f"Could not decode image: {e}") from e
+    if not out or (areas and out == content):
+        raise ValueError("Could not mask image")
+    return out
+
+
+def mask_images(media: DataFrame, boxes: DataFrame | None, visual: bool, codec: Codec | None = None) -> DataFrame:
     """Media rows (path, zip_name, content, error) to (path, zip_name, masked, modified, error).
 
-    boxes: (path, zip_name, boxes) of the images to mask. An image that cannot be decoded while a visual policy is on, and any
-    other format than PNG with areas to mask, fails its document.
+    boxes: (path, zip_name, boxes) of the images to mask. An image that neither the PNG codec nor `codec` can read fails its
+    document while a visual policy is on.
     """
     rows = media.join(boxes, ["path", "zip_name"], "left") if boxes is not None else media.withColumn("boxes", F.array().cast("array<struct<x1:int,y1:int,x2:int,y2:int>>"))
 
     def run(batches):
+        other = codec() if codec else None
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
             out, changed, errors = [], [], []
@@ -41,7 +64,7 @@ def mask_images(media: DataFrame, boxes: DataFrame | None, visual: bool) -> Data
                     continue
                 wanted = [(b["x1"], b["y1"], b["x2"], b["y2"]) for b in areas or []]
                 try:
-                    out.append(png.masked(content, wanted) if visual else content)
+                    out.append(_masked(content, wanted, other) if visual else content)
                     changed.append(bool(visual and wanted))
                     errors.append(None)
                 except ValueError as e:
@@ -53,7 +76,7 @@ def mask_images(media: DataFrame, boxes: DataFrame | None, visual: bool) -> Data
     return rows.select("path", "zip_name", "content", "error", "boxes").mapInArrow(run, "path string, zip_name string, masked binary, modified boolean, error string")
 
 
-def redact_documents(files: DataFrame, policy: Policy = Policy(), boxes: DataFrame | None = None, precedence: str = "compat") -> DataFrame:  # noqa: B008
+def redact_documents(files: DataFrame, policy: Policy = Policy(), boxes: DataFrame | None = None, precedence: str = "compat", codec: Codec | None = None) -> DataFrame:  # noqa: B008
     """Rows (path, length, content) to path, status, message, output and the counters of SUMMARY.
 
     A document whose package or any image cannot be read or rewritten, or whose file is refused, fails: its output is null.
@@ -71,7 +94,7 @@ def redact_documents(files: DataFrame, policy: Policy = Policy(), boxes: DataFra
         F.collect_list(F.when(F.col("written").isNotNull(), run)).alias("patches"),  # of one document
     )
     visual = policy.faces or policy.id_documents or policy.signatures or policy.qr
-    pictures = mask_images(docx.media(good), boxes, visual)
+    pictures = mask_images(docx.media(good), boxes, visual, codec)
     pictures = pictures.groupBy("path").agg(F.count("*").alias("images_found"), F.sum(F.col("modified").cast("long")).alias("images_modified"), F.max("error").alias("image_error"), F.collect_list(F.when(F.col("modified"), F.struct("zip_name", "masked"))).alias("images"))
     failed = paragraphs.where("error is not null").select("path", F.col("error").alias("open_error"))
     joined = checked.join(text, "path", "left").join(pictures, "path", "left").join(failed, "path", "left")

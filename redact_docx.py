@@ -1,11 +1,12 @@
-"""spark-submit redact_docx.py --input FILE_OR_FOLDER --output FOLDER [--boxes TABLE]
+"""spark-submit redact_docx.py --input FILE_OR_FOLDER --output FOLDER [--boxes TABLE] [--codec MODULE:FUNCTION]
 
 TABLE is a Parquet table (path, zip_name, boxes) of the areas of images to mask, such as `plans.documents.image_boxes` makes.
-Progress goes to standard error, a line for each stage and each file."""
+FUNCTION makes the codec of images other than 8-bit PNG, as `plans.documents.Codec` says. Progress goes to standard error, a line for each stage and each file."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import os
 import sys
@@ -22,6 +23,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--input", required=True)
     parser.add_argument("--output", required=True)
     parser.add_argument("--boxes")
+    parser.add_argument("--codec")
     own = parser.parse_args(args)
     spark = SparkSession.builder.appName("redact").getOrCreate()
     progress = lambda stage, current, total: print(PROGRESS + json.dumps({"stage": stage, "current": current, "total": total}), file=sys.stderr)
@@ -30,7 +32,9 @@ def main(args: list[str] | None = None) -> int:
     progress("loading_document", 0, total)
     os.makedirs(own.output, exist_ok=True)
     boxes = spark.read.parquet(own.boxes) if own.boxes else None
-    for n, row in enumerate(redact_documents(source, boxes=boxes).toLocalIterator(), 1):
+    module, _, function = (own.codec or "").partition(":")
+    codec = getattr(importlib.import_module(module), function) if own.codec else None
+    for n, row in enumerate(redact_documents(source, boxes=boxes, codec=codec).toLocalIterator(), 1):
         progress("saving_document", n, total)
         if row.status == "failed":
             failed += 1

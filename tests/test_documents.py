@@ -41,6 +41,24 @@ def test_documents(spark):
     assert got["clean.docx"].text_redactions == 0
 
 
+def test_images_of_other_formats_go_through_a_codec_of_ones_own(spark):
+    def make():
+        def masked(content, areas):
+            if not content.startswith(b"RAW"):
+                raise RuntimeError("no such format")
+            return content if b"stuck" in content else content + bytes(len(areas))
+
+        return masked
+
+    made = {f"{n}.docx": docx.package([["a@b.com"]], {"word/media/a.jpeg": c}) for n, c in (("good", b"RAW1"), ("plain", b"RAW1"), ("stuck", b"RAWstuck"), ("alien", b"GIF"))}
+    areas = [(f"{n}.docx", "word/media/a.jpeg", [(1, 1, 3, 3), (2, 2, 4, 4)]) for n in ("good", "stuck")]
+    boxes = spark.createDataFrame(areas, "path string, zip_name string, boxes array<struct<x1:int,y1:int,x2:int,y2:int>>")
+    got = {r.path: r for r in redact_documents(_files(spark, made), boxes=boxes, codec=make).collect()}
+    assert {p: r.message for p, r in got.items() if r.status == "failed"} == {"stuck.docx": "Could not mask image", "alien.docx": "Could not decode image: no such format"}
+    assert [(docx.media_of(bytes(got[p].output))[0][1], got[p].images_modified) for p in ("good.docx", "plain.docx")] == [(b"RAW1\0\0", 1), (b"RAW1", 0)]
+    assert all(r.status == "failed" for r in redact_documents(_files(spark, made), boxes=boxes).collect())
+
+
 def _repacked(content, change):
     import io
     import zipfile
