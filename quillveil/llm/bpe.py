@@ -15,6 +15,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -157,15 +158,16 @@ class Vocabulary:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the offsets of each text's ids."""
         split = [self.pattern.findall(t) for t in texts]
-        fresh = {t for own in split for t in own if t not in self.codes}
+        met = set(chain.from_iterable(split))
+        fresh = met.difference(self.codes)
         if fresh:
             if len(self.codes) + len(fresh) > REMEMBERED:
                 self.forget()
-                fresh = {t for own in split for t in own}
+                fresh = met
             self.learn(fresh)
         counts = np.array([len(own) for own in split], np.int64)
         get = self.codes.__getitem__
-        codes = np.fromiter((get(t) for own in split for t in own), np.int64, int(counts.sum()))
+        codes = np.fromiter(map(get, chain.from_iterable(split)), np.int64, int(counts.sum()))
         ends, ids = np.frombuffer(self.ends, np.int64), np.frombuffer(self.ids, np.int32) if self.ids else np.zeros(0, np.int32)
         sizes = ends[codes + 1] - ends[codes]
         done = np.concatenate(([0], np.cumsum(sizes)))
