@@ -152,6 +152,22 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {r.id: r.redacted for r in redact(spark.read.parquet(str(folder / "texts.parquet"))).collect()}
 
 
+def test_stream_reads_a_file_or_a_folder_of_files(spark, tmp_path):
+    from quillveil import catalogue
+
+    rows = spark.createDataFrame([(i, t, "en") for i, t in enumerate(("at 10.0.0.1", "nothing", None, "10.0.0.2, 10.0.0.3"))], "doc_id long, text string, lang string")
+    rows.repartition(3).write.parquet(str(tmp_path / "parts" / "documents.parquet"))
+    rows.write.partitionBy("lang").parquet(str(tmp_path / "by_lang" / "documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (file,) = (tmp_path / "one").glob("part-*.parquet")
+    file.rename(tmp_path / "one" / "documents.parquet")
+    for name in ("parts", "by_lang", "one"):
+        got, want = ({tuple(r) for r in catalogue.queries()[q](spark, str(tmp_path / name)).collect()} for q in ("stream_redact_available_now", "redact_text"))
+        assert got == want and {r[0] for r in got} == {0, 3}, name
+    rows.where("false").write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    assert catalogue.queries()["stream_redact_available_now"](spark, str(tmp_path / "empty")).collect() == []
+
+
 def test_scored_run(spark):
     from quillveil.plans import evaluation
 
